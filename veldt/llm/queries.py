@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, packing, substring_dedup
+from . import decontamination, embedding_dedup, jaccard_join, packing, substring_dedup
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op4_decontamination": op4_decontamination,
         "op6_embedding_dedup": op6_embedding_dedup,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_substring_dedup": op9_substring_dedup,
     }
 
