@@ -8,8 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, jaccard_join, packing, substring_dedup
-from .common import table
+from . import decontamination, embedding_dedup, jaccard_join, packing, quality, substring_dedup, toxicity
+from .common import crc_mod, table
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = quality.train(*quality.training_sample(docs, labels, crc_mod(F.col("doc_id"), 5) != 0, "quality"))
+    return quality.scored(docs, net).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +39,13 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    texts, marks = quality.training_sample(docs, labels, crc_mod(F.col("doc_id"), 3) != 1, "toxic", rows=toxicity.TRAIN_ROWS)
+    machine = toxicity.train([t.decode("utf-8", "replace") for t in texts], marks)
+    return toxicity.scored(docs, machine).select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,9 +56,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_packing": op2_packing,
         "op4_decontamination": op4_decontamination,
         "op6_embedding_dedup": op6_embedding_dedup,
+        "op7_toxicity": op7_toxicity,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_substring_dedup": op9_substring_dedup,
     }
