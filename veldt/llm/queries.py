@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, jaccard_join, packing, quality, substring_dedup, toxicity
+from . import decontamination, embedding_dedup, jaccard_join, packing, pii, quality, substring_dedup, toxicity
 from .common import crc_mod, table
 
 
@@ -35,6 +35,16 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.personal_data(docs, pii.fitted(docs))
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["finish"])), ",")
+    rank = lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, pii.KINDS)), s["kind"]).alias("place"), s["finish"].alias("finish"), s["kind"].alias("kind"))
+    every = F.array_sort(F.transform(F.concat("base", "added"), rank))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(every).alias("spans"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -59,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_packing": op2_packing,
         "op4_decontamination": op4_decontamination,
+        "op5_pii": op5_pii,
         "op6_embedding_dedup": op6_embedding_dedup,
         "op7_toxicity": op7_toxicity,
         "op8_jaccard_join": op8_jaccard_join,
