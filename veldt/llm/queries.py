@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, jaccard_join, packing, pii, quality, substring_dedup, toxicity
+from . import decontamination, embedding_dedup, jaccard_join, packing, pii, quality, substring_dedup, toxicity, warc
 from .common import crc_mod, table
 
 
@@ -23,6 +23,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    warc.register(spark)
+    path = warc.fresh_path(spark)
+    warc.archived(table(spark, sf_dir, "pages"), path)
+    return warc.catalogue(spark, path)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -41,7 +48,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["finish"])), ",")
     rank = lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, pii.KINDS)), s["kind"]).alias("place"), s["finish"].alias("finish"), s["kind"].alias("kind"))
     every = F.array_sort(F.transform(F.concat("base", "added"), rank))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [number(kind).alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(every).alias("spans"))
 
 
@@ -68,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_packing": op2_packing,
+        "op3_warc": op3_warc,
         "op4_decontamination": op4_decontamination,
         "op5_pii": op5_pii,
         "op6_embedding_dedup": op6_embedding_dedup,
