@@ -203,3 +203,18 @@ def scored(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
     sent = docs.sparkSession.sparkContext.broadcast(net)
     source = docs.select(F.col(id_col).cast("long").alias("of_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(_scores(sent), "of_id long, score double").withColumnRenamed("of_id", id_col)
+
+
+def _passing(sent, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = sent.value
+        for part, texts in text_batches(batches, most=1 << 21):
+            yield part.filter(pa.array(score(net, texts) >= least))
+
+    return run
+
+
+def passing(docs: DataFrame, net: Network, least: float) -> DataFrame:
+    """The rows of docs, all columns, whose text column scores ``least`` or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(net)
+    return docs.mapInArrow(_passing(sent, least), docs.schema)
