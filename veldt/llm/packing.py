@@ -14,7 +14,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +34,14 @@ BLOCK_WINDOWS = 64
 SLACK = 8
 END_ID = 1
 #: Units whose ids a worker remembers; beyond it forgets all and starts anew.
-MEMO_UNITS = 500_000
+MEMO_UNITS = 900_000
 
 #: The tokenizer's pre-tokens never span ASCII white space, nor a run of plain letters and a
 #: following ASCII sign, so a text's ids are those of these units, one after the other.
 _UNIT = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[\x00-\x7f]|\Z)|[^ \t\n\r\x0b\x0c]+")
 
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
 
 class UnitEncoder:
     """Ids by a tokenizers file whose pre-tokens don't span white space, unit by unit."""
@@ -48,6 +50,12 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -57,26 +65,41 @@ class UnitEncoder:
         self.ids = np.zeros(0, np.uint32)
 
     def learn(self, units: list[str]) -> None:
-        new = set(units).difference(self.index)
-        if len(self.index) + len(new) > MEMO_UNITS and self.index:
-            self.clear()
-            new = set(units)
-        if not new:
-            return
-        order = sorted(new)
-        found = [e.ids for e in self.tokenizer.encode_batch(order, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self.index.update(zip(order, range(len(self.index), len(self.index) + len(order)), strict=True))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
+        """Add units that aren't known yet."""
+        plain = [u for u in units if _PLAIN.fullmatch(u)] if self.ends is not None else []
+        other = sorted(set(units).difference(plain))
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(other, add_special_tokens=False)] if other else []
+        parts, size = [np.concatenate(found)] if found else [], [len(x) for x in found]
+        if plain:
+            # Each of these is one pre-token, whose last id alone ends a word: many are encoded at a time.
+            lines = [" ".join(plain[i : i + 400]) for i in range(0, len(plain), 400)]
+            ids = np.array(list(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch(lines, add_special_tokens=False))), np.uint32)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            parts.append(ids)
+            size += np.diff(stop, prepend=0).tolist()
+        new = np.array(size, np.int64)
+        self.index.update(zip(other + plain, range(len(self.index), len(self.index) + len(new)), strict=True))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(new) - new])
+        self.size = np.concatenate([self.size, new])
+        self.ids = np.concatenate([self.ids, *parts])
+
+    def places(self, flat: list[str]) -> np.ndarray:
+        at = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
+        lacking = np.flatnonzero(at < 0).tolist()
+        if lacking:
+            new = sorted({flat[i] for i in lacking})
+            if len(self.index) + len(new) > MEMO_UNITS and self.index:
+                self.clear()
+                return self.places(flat)
+            self.learn(new)
+            at[lacking] = np.fromiter(map(self.index.__getitem__, map(flat.__getitem__, lacking)), np.int64, len(lacking))
+        return at
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by end_id, and how many each has."""
         units = [_UNIT.findall(x) for x in texts]
         flat = list(chain.from_iterable(units))
-        self.learn(flat)
-        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        at = self.places(flat)
         size = self.size[at]
         end = np.cumsum(size)
         doc_end = np.concatenate([[0], np.cumsum([len(x) for x in units])]).astype(np.int64)
