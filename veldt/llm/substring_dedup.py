@@ -146,10 +146,10 @@ def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fewer than ``width`` words have no windows. Ids must be unique and not null.
     """
     n = partitions(docs.sparkSession)
-    buckets = 4 * n if n <= 2048 else n
+    buckets, slots = 2 * n, n  # each bucket sends a row to each slot at most
     source = docs.select(F.col(id_col).cast("long").alias("of_doc"), F.col(text_col).alias("text")).where("of_doc is not null")
     packed = source.mapInArrow(_windows_of(width, buckets, max(block_windows, 128 * buckets)), _PACKED)
-    marked = packed.groupBy("bucket").applyInArrow(_marked_of(buckets), _MARKED)
+    marked = packed.groupBy("bucket").applyInArrow(_marked_of(slots), _MARKED)
     return marked.groupBy("slot").applyInArrow(_intervals_of(width), _INTERVALS)
 
 
