@@ -29,6 +29,8 @@ WINDOW, MARGIN = 128, 32
 EMBED, STATE = 8, 16
 #: Windows with base spans, and as many without, that are used for training at most.
 TRAIN_WINDOWS = 1200
+#: Documents from which these are taken, about so many.
+TRAIN_DOCUMENTS = 20_000
 ROUNDS = 220
 BATCH = 32
 #: Tags: 0 outside; of kind k, 2k + 1 for its first character and 2k + 2 for the others.
@@ -368,10 +370,13 @@ def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(code, pa.binary()), pa.array(tag, pa.binary()), pa.array(some, pa.bool_())], names=["of_id", "at", "code", "tag", "some"])
 
 
-def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windows: int = TRAIN_WINDOWS, documents: int = 8) -> Tagger:
+def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windows: int = TRAIN_WINDOWS, documents: int = TRAIN_DOCUMENTS) -> Tagger:
     """A tagger trained on at most ``windows`` windows with spans and as many without, by the
-    hash of their place, from the documents whose id hashes to 0 modulo ``documents``."""
-    source = docs.select(F.col(id_col).cast("long").alias("of_id"), F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("of_id"), F.lit(documents)) == 0)
+    hash of their place, from about ``documents`` documents (all, if there are fewer), by the
+    hash of their id."""
+    share = min(1.0, documents / max(1, docs.count()))
+    by_id = F.pmod(F.xxhash64("of_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    source = docs.select(F.col(id_col).cast("long").alias("of_id"), F.col(text_col).alias("text")).where(by_id)
     found = source.mapInArrow(_train_rows, "of_id long, at long, code binary, tag binary, some boolean").withColumn("by", F.xxhash64("of_id", "at"))
     rows = [r for want in (True, False) for r in found.where(F.col("some") == want).orderBy("by", "of_id", "at").limit(windows).collect()]
     if not rows:
