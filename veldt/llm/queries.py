@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import decontamination, embedding_dedup, jaccard_join, license_scan, packing, pii, quality, substring_dedup, toxicity, warc
 from .common import crc_mod, table
+from .oracles import ORACLES
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_license_scan": license_scan.oracle()}
+    return dict(ORACLES)
