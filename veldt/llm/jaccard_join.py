@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, mix, rolling, stored, text_batches
+from .common import ALNUM, Words, configured, mix, release, rolling, stored, text_batches
 from .pairs import components, forest, groups, in_blocks, meet, shared_keys
 
 GRAM = 5
@@ -34,7 +34,7 @@ LEVELS = 3
 #: Buckets up to this size are compared as they are; larger ones are split at the next level.
 SPLIT = 8192
 #: Sketch rows, and sets, of a block.
-SKETCH_BLOCK = 2048
+SKETCH_BLOCK = 4096
 SET_BLOCK = 1024
 BITS = 512
 #: Sketches estimate the similarity with a standard deviation of about 0.03; this far below the threshold a pair is dropped.
@@ -284,14 +284,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = signed.join(equal.select(F.col("first").alias("id"), "copies"), "id")
 
     buckets = in_blocks(_buckets(firsts, split), sketch_block)
+    release(docs.sparkSession)
     edges = meet(buckets.join(signed.select("id", "sketch"), "id"), _sketch_edges(threshold), "a long, b long")
     near = components(edges, "sketched")
+    release(docs.sparkSession)
 
     members = near.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
     inside = in_blocks(near.join(members, "comp").select(F.col("comp").alias("key"), "id", "members"), set_block)
-    wanted = near.select("id").join(equal.select(F.col("first").alias("id"), "copies"), "id")
-    sets = source.join(wanted, "id").mapInArrow(_sets(gram), "id long, copies long, shingles binary")
-    compared, _ = stored(meet(inside.join(sets, "id"), _exact(threshold), "id long, other long, links long"), "compared")
+    wanted, _ = stored(near.select("id").join(equal.select(F.col("first").alias("id"), "copies"), "id"), "wanted")
+    # Most texts are in no component. Spark's run-time Bloom filter (8 MB at most, and only while
+    # the ids' table is small enough) drops them before the shuffle; what it lets through is joined.
+    sets = source.join(wanted.where("copies > 0"), "id").mapInArrow(_sets(gram), "id long, copies long, shingles binary")
+    bloom = "spark__sql__optimizer__runtime__bloomFilter__"
+    with configured(docs.sparkSession, **{f"{bloom}enabled": "true", f"{bloom}applicationSideScanSizeThreshold": "0"}):
+        compared, _ = stored(meet(inside.join(sets, "id"), _exact(threshold), "id long, other long, links long"), "compared")
     links = compared.groupBy("id").agg(F.sum("links").alias("links"))
     linked = components(compared.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")), "linked")
 
