@@ -157,8 +157,21 @@ class Words:
         return self.data[self.offset[i] : self.offset[i + 1] - 1].tobytes()
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with about ``most`` bytes of text each, and those texts."""
+#: What operators keep in a worker from task to task, by operator.
+LEARNED: dict[str, dict] = {}
+
+
+def learned(operator: str) -> dict:
+    return LEARNED.setdefault(operator, {})
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 22, operator: str = "") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with about ``most`` bytes of text each, and those texts.
+
+    A worker that turns to another operator forgets what the one before has learned.
+    """
+    for other in set(LEARNED) - {operator}:
+        del LEARNED[other]
     for batch in batches:
         values = batch.column(column).cast(pa.large_binary())
         sizes = np.array(values.value_lengths().fill_null(0)) if hasattr(values, "value_lengths") else np.array(pa.compute.binary_length(values).fill_null(0))

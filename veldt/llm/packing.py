@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import learned, text_batches
 
 CAPACITY = 2048
 #: Left-over tokens are halved into pieces down to about this many: with pieces of every
@@ -114,14 +114,12 @@ class UnitEncoder:
         return ids, per_doc
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
 def encoder(path: str) -> UnitEncoder:
     """One for each worker process, with what it has learned."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+    known = learned("packing")
+    if path not in known:
+        known[path] = UnitEncoder(path)
+    return known[path]
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -204,7 +202,7 @@ def _pack(tokenizer: str, end_id: int, capacity: int, least: int, block_windows:
                 sequence += 1
             return out
 
-        for part, texts in text_batches(batches):
+        for part, texts in text_batches(batches, operator="packing"):
             ids, sizes = encode.encode([x.decode("utf-8", "replace") for x in texts], end_id)
             rows, begin = [], 0
             for doc, n in zip(part.column("of_doc").to_pylist(), sizes.tolist(), strict=True):

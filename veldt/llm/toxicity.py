@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, text_batches
+from .common import learned, mix, text_batches
 
 DECAY = 0.8
 #: Characters of a stretch at most, and how far the next begins.
@@ -279,12 +279,9 @@ def _calibrated(machine: Machine, best: np.ndarray, labels: np.ndarray) -> Machi
     return machine
 
 
-_MEMO: dict = {}
-
-
 def text_values(machine: Machine, texts: list[str]) -> np.ndarray:
     """Each text's highest unit value; a worker keeps the values of the units it has met."""
-    memo = _MEMO.setdefault(machine.table.tobytes()[:4096] + np.float64(machine.bias).tobytes(), {})
+    memo = learned("toxicity").setdefault(machine.table.tobytes()[:4096] + np.float64(machine.bias).tobytes(), {})
     found = [units(t) for t in texts]
     new = set().union(*found).difference(memo)
     if len(memo) + len(new) > MEMO_UNITS:
@@ -298,9 +295,10 @@ def text_values(machine: Machine, texts: list[str]) -> np.ndarray:
 def _scores(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = sent.value
-        for key in [k for k in _MEMO if k != machine.table.tobytes()[:4096] + np.float64(machine.bias).tobytes()]:
-            del _MEMO[key]
-        for part, texts in text_batches(batches, most=1 << 21):
+        memos = learned("toxicity")
+        for key in [k for k in memos if k != machine.table.tobytes()[:4096] + np.float64(machine.bias).tobytes()]:
+            del memos[key]
+        for part, texts in text_batches(batches, most=1 << 21, operator="toxicity"):
             best = text_values(machine, [t.decode("utf-8", "replace") for t in texts])
             yield pa.RecordBatch.from_arrays([part.column("of_id"), pa.array(machine.probability(best).astype(np.float64))], names=["of_id", "score"])
 
