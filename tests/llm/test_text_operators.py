@@ -113,6 +113,14 @@ def test_jaccard_join(spark, sizes):
     assert got == want
 
 
+def test_jaccard_join_of_the_least_sets(spark):
+    """Four shingles inside five have a similarity of 0.8 as well."""
+    words = "a b c d e f g h".split()
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(["p", "q", *words[2:]]), "a b c d e f g"]
+    got = {r.doc_id: (r.n_links, r.component_id, r.kept) for r in jaccard_join.near_duplicates(clashing(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: (1, 0, True), 1: (1, 0, False), 2: (0, 2, True), 3: (0, 3, True)}
+
+
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

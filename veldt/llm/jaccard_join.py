@@ -104,8 +104,8 @@ def _lists(owner: np.ndarray, n: int, values: np.ndarray, kind: pa.DataType) ->
 
 def _sign(gram: int, threshold: float, runs: int):
     seeds = np.random.default_rng(11).integers(1, 1 << 63, (runs, LEVELS), dtype=np.uint64) | np.uint64(1)
-    #: Sets below this size are similar to none but equal ones.
-    least = math.ceil(1 / (1 - threshold) - 1e-9) if threshold < 1 else 1 << 60
+    #: Sets below this size are similar to none but equal ones: one of m, inside another of m + 1, has m / (m + 1) of it.
+    least = math.ceil(threshold / (1 - threshold) - 1e-9) if threshold < 1 else 1 << 60
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_batches(batches):
