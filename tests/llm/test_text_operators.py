@@ -121,6 +121,36 @@ def test_jaccard_join_of_the_least_sets(spark):
     assert got == {0: (1, 0, True), 1: (1, 0, False), 2: (0, 2, True), 3: (0, 3, True)}
 
 
+def test_jaccard_join_recalls_short_pairs(spark):
+    """Pairs of few shingles at a similarity of 0.8 exactly, by words added at either end."""
+    data, pairs = [], 0
+    for common, before, after in ((4, 0, 1), (8, 0, 2), (8, 2, 0), (8, 1, 1), (12, 0, 3), (12, 1, 2), (40, 5, 5)):
+        for _ in range(400):
+            own = [f"p{pairs}w{i}" for i in range(common + 4 + before + after)]
+            left, right = (own[before:], own[: len(own) - after]) if before and after else (own[before : len(own) - after], own)
+            data += [(2 * pairs, " ".join(left)), (2 * pairs + 1, " ".join(right))]
+            pairs += 1
+    rows = jaccard_join.near_duplicates(clashing(spark, data)).collect()
+    assert len(rows) == 2 * pairs and [r.doc_id for r in rows if r.n_links != 1 or r.component_id != r.doc_id // 2 * 2] == []
+
+
+def test_sketches_of_either_kind_pass_similar_sets():
+    """Sets on both sides of SHORT, within a group and across its middle."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    for size in (5, 40, 230, 255, 256, 300, 318, 319, 320, 321, 600):
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)
+        sets = [base, base[: -(-size * 4 // 5)], rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)]
+        sizes = np.array([len(x) for x in sets])
+        hashes, owner = np.concatenate(sets), np.repeat(np.arange(3), sizes)
+        marks = {"sketch": jaccard_join._marks(jaccard_join.sketches, sizes >= jaccard_join.SHORT, hashes, owner), "parity": jaccard_join._marks(jaccard_join.parities, jaccard_join.has_parity(sizes, 4, 0.8), hashes, owner)}
+        for side in ([0, 0, 0], [0, 1, 1]):
+            rows = pa.table({"key": [1, 1, 1], "pair": [0, 0, 0], "side": side, "id": [10, 11, 12], "size": sizes, **marks})
+            edges = [tuple(e.values()) for part in jaccard_join._sketch_edges(0.8)(iter([rows])) for e in part.to_pylist()]
+            assert edges == [(10, 11)], (size, side)
+
+
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

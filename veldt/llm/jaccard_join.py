@@ -7,9 +7,11 @@ of moderate size are compared by brute force, larger ones are split again by tok
 under the next level's hash; what is still large at the last level is compared in blocks,
 so nothing is capped. The number of runs follows from the wanted recall.
 
-Equal sets are one from the start. A bucket compares 512-bit sketches (one-permutation
-hashing, densified) against a bound far below the threshold and gives a spanning forest of
-what passes; inside the components of these, all sets are compared exactly, in blocks.
+Equal sets are one from the start. A bucket compares 512-bit sketches and gives a spanning
+forest of what passes. Of small sets the sketch holds the parity of each bin's tokens: two
+sketches differ in no more bits than the sets in tokens, so no pair at the threshold is
+dropped. Of large ones it is one-permutation hashing, densified, against a bound far below
+the threshold; inside the components of these, all sets are compared exactly, in blocks.
 From there come each document's number of links and, again as forests, the classes. Pairs
 are never written out.
 """
@@ -37,10 +39,12 @@ SPLIT = 8192
 SKETCH_BLOCK = 4096
 SET_BLOCK = 1024
 BITS = 512
-#: Sketches estimate the similarity with a standard deviation of about 0.03; this far below the threshold a pair is dropped.
+#: Sets below this size are compared by parities, which lose no pair.
+SHORT = 256
+#: Sketches of other sets estimate the similarity with a standard deviation of about 0.03; this far below the threshold a pair is dropped.
 MARGIN = 0.17
 
-_SIGNED = "id long, set_a long, set_b long, size long, sketch binary, path_key array<long>, path_run array<int>, more_run array<int>, more_level array<int>, more_token array<long>"
+_SIGNED = "id long, set_a long, set_b long, size long, sketch binary, parity binary, path_key array<long>, path_run array<int>, more_run array<int>, more_level array<int>, more_token array<long>"
 
 
 def runs_for(recall: float, levels: int = 2) -> int:
@@ -98,6 +102,24 @@ def sketches(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(bit, axis=1)
 
 
+def parities(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """One bit for each bin: whether the number of hashes in it is odd."""
+    count = np.bincount(owner * BITS + (hashes >> np.uint64(55)).astype(np.int64), minlength=n * BITS)
+    return np.packbits((count & 1).astype(bool).reshape(n, BITS), axis=1)
+
+
+def has_parity(sizes: np.ndarray, least: int, threshold: float) -> np.ndarray:
+    """Sets below SHORT, and those large enough to be similar to one of them."""
+    return (sizes >= least) & (sizes * threshold < SHORT)
+
+
+def _marks(kind, has: np.ndarray, hashes: np.ndarray, owner: np.ndarray) -> pa.Array:
+    """Sketches of one kind of the sets that have it, of the others none."""
+    use, number = has[owner], np.cumsum(has) - 1
+    marks = kind(hashes[use], number[owner[use]], int(has.sum()))
+    return pa.array([marks[number[i]].tobytes() if h else b"" for i, h in enumerate(has.tolist())], pa.binary())
+
+
 def _lists(owner: np.ndarray, n: int, values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), pa.array(values, kind))
 
@@ -129,32 +151,32 @@ def _sign(gram: int, threshold: float, runs: int):
             order = np.argsort(who, kind="stable")
             who, which, depth, token = who[order], which[order], depth[order], token[order].view(np.int64)
             top = depth == 0
-            marks = sketches(hashes, owner, n)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("id"),
                     *map(pa.array, sums),
                     pa.array(sizes),
-                    pa.array([x.tobytes() for x in marks], pa.binary()),
+                    _marks(sketches, sizes >= max(least, SHORT), hashes, owner),
+                    _marks(parities, has_parity(sizes, least, threshold), hashes, owner),
                     _lists(who[top], n, token[top], pa.int64()),
                     _lists(who[top], n, which[top], pa.int32()),
                     _lists(who[~top], n, which[~top], pa.int32()),
                     _lists(who[~top], n, depth[~top], pa.int32()),
                     _lists(who[~top], n, token[~top], pa.int64()),
                 ],
-                names=["id", "set_a", "set_b", "size", "sketch", "path_key", "path_run", "more_run", "more_level", "more_token"],
+                names=["id", "set_a", "set_b", "size", "sketch", "parity", "path_key", "path_run", "more_run", "more_level", "more_token"],
             )
 
     return run
 
 
-def _alike(x: np.ndarray, middle: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sketches that differ in at most ``most`` bits, within x or across middle."""
+def _alike(x: np.ndarray, middle: int, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sketches that differ in at most as many bits as the sum of their ``most``, within x or across middle."""
     left: list = []
     right: list = []
     for i in range(min(middle, len(x) - 1)):
         begin = i + 1 if middle == len(x) else middle
-        near = np.flatnonzero(np.bitwise_count(x[begin:] ^ x[i]).sum(1, dtype=np.int32) <= most)
+        near = np.flatnonzero(np.bitwise_count(x[begin:] ^ x[i]).sum(1, dtype=np.int32) <= most[begin:] + most[i])
         if len(near):
             left.append(np.full(len(near), i))
             right.append(near + begin)
@@ -162,22 +184,33 @@ def _alike(x: np.ndarray, middle: int, most: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _sketch_edges(threshold: float):
-    most = int((1 - max(0.0, threshold - MARGIN)) / 2 * BITS)
+    half = (1 - max(0.0, threshold - MARGIN)) / 4 * BITS
+    # Similar sets of x and y tokens differ in (1 - threshold) / (1 + threshold) * (x + y) of them at most.
+    share = (1 - threshold) / (1 + threshold)
 
     def run(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
         for rows in tables:
             ids = np.asarray(rows.column("id"))
-            marks = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+            kinds = []
+            for name in ("sketch", "parity"):
+                found = [(i, x) for i, x in enumerate(rows.column(name).to_pylist()) if x]
+                marks = np.frombuffer(b"".join(x for _, x in found), np.uint64).reshape(-1, BITS // 64)
+                at = np.array([i for i, _ in found], np.int64)
+                kinds.append((at, marks, np.full(len(at), half) if name == "sketch" else share * np.asarray(rows.column("size"))[at] + 1e-6))
             low: list = []
             high: list = []
             for a, m, b in groups(rows):
                 if m == a or b - a < 2:
                     continue
-                left, right = _alike(marks[a:b], m - a, most)
-                if len(left):
-                    x, y = forest(b - a, left, right)
-                    low.append(ids[a + x])
-                    high.append(ids[a + y])
+                for at, marks, most in kinds:
+                    i, k, j = np.searchsorted(at, [a, m, b])
+                    if k == i or j - i < 2 or (m < b and k == j):
+                        continue
+                    left, right = _alike(marks[i:j], k - i, most[i:j])
+                    if len(left):
+                        x, y = forest(j - i, left, right)
+                        low.append(ids[at[i + x]])
+                        high.append(ids[at[i + y]])
             if low:
                 pairs = np.unique(np.stack([np.concatenate(low), np.concatenate(high)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -285,7 +318,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     buckets = in_blocks(_buckets(firsts, split), sketch_block)
     release(docs.sparkSession)
-    edges = meet(buckets.join(signed.select("id", "sketch"), "id"), _sketch_edges(threshold), "a long, b long")
+    edges = meet(buckets.join(signed.select("id", "size", "sketch", "parity"), "id"), _sketch_edges(threshold), "a long, b long")
     near = components(edges, "sketched")
     release(docs.sparkSession)
 
