@@ -238,6 +238,26 @@ def test_licenses_with_changes(spark):
     assert license_scan.scan(own(spark), templates={}).count() == 0
 
 
+def test_whole_licenses_with_changes(spark):
+    """Each license body whole, with every 60th word changed, and with two thirds only; and headers."""
+    rng = random.Random(7)
+    filler = [f"w{i}" for i in range(700)]
+    data, want = [], {}
+    for name in sorted(set(license_scan.TEMPLATES) - set(license_scan.NOTICES)):
+        words = license_scan.TEMPLATES[name].split()
+        at = rng.randrange(len(filler))
+        changed = [f"changed{i}" if i % 60 == 30 else w for i, w in enumerate(words)]
+        for kind, text in (("whole", words), ("changed", changed), ("part", words[: len(words) * 2 // 3])):
+            want[len(data)] = name, kind
+            data.append((len(data), " ".join([*filler[:at], *text, *filler[at:]])))
+    got = {}
+    for r in license_scan.scan(own(spark, data)).collect():
+        got.setdefault(r.doc_id, {})[r.license_id] = r.n_found / r.n_runs
+    for doc, (name, kind) in want.items():
+        assert (name in got.get(doc, {})) == (kind != "part"), (name, kind, got.get(doc))
+        assert kind != "whole" or got[doc][name] == 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from veldt.llm import decontamination, jaccard_join

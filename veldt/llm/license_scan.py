@@ -11,8 +11,10 @@ Bands: a window that holds the wanted share of a template has a Jaccard similari
 it of at least ``least_similarity``; with b bands it is missed with probability (1-J)**b.
 b is chosen per size class so that this is below ``MISS``.
 
-A document none of whose runs is a template's can hold nothing and isn't cut into windows;
-that leaves the result as it is. Templates are a parameter of bounded number and size;
+Who holds the wanted share of a template's n runs lacks fewer than some number m of them,
+so holds one at least of any m. A document without any of m fixed runs of each template of
+a size class can hold none of the class and isn't cut into windows for it; that leaves the
+result as it is. Templates are a parameter of bounded number and size;
 they are sent to every executor, and nothing of the documents is shuffled but the
 matches.
 """
@@ -20,6 +22,7 @@ matches.
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -33,7 +36,8 @@ MISS = 1e-5
 #: Templates, and words of all templates, at most.
 MOST_TEMPLATES, MOST_WORDS = 2000, 500_000
 
-TEMPLATES = {
+#: One-sentence notices.
+NOTICES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -44,6 +48,24 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
 }
 
+_GNU = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."
+
+#: What the licenses tell authors to put ahead of each file.
+HEADERS = {
+    "GPL-2.0-header": _GNU.format(name="General Public License", version="2"),
+    "GPL-3.0-header": _GNU.format(name="General Public License", version="3"),
+    "LGPL-2.1-header": _GNU.format(name="Lesser General Public License", version="2.1").replace("This program", "This library"),
+    "LGPL-3.0-header": _GNU.format(name="Lesser General Public License", version="3"),
+    "AGPL-3.0-header": _GNU.format(name="Affero General Public License", version="3"),
+    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+}
+
+#: Licenses whose whole text is in the folder licenses.
+BODIES = "0BSD Apache-2.0 Artistic-1.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC0-1.0 GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-3.0 ISC LGPL-2.0 LGPL-2.1 LGPL-3.0 MIT MPL-1.1 MPL-2.0 Unlicense Zlib".split()
+
+TEMPLATES = NOTICES | HEADERS | {f"{n}-text": pkgutil.get_data(__package__, f"licenses/{n}.txt").decode() for n in BODIES}
+
 #: What parts words: anything that is neither an ASCII digit or letter nor beyond ASCII.
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,6 +93,16 @@ def settled(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def constant(values: set[int]) -> Column:
+    """Numbers as an array that is one literal once optimized."""
+    return F.split(F.lit(",".join(map(str, sorted(values)))), ",").cast("array<bigint>")
+
+
+def needed(runs: list[int]) -> list[int]:
+    """As many of a template's runs as leave less than the wanted share without them."""
+    return sorted(runs)[: len(runs) - math.ceil(CONTAINMENT * len(runs) - 1e-9) + 1]
+
+
 def least_similarity(runs: int, window: int) -> float:
     """Of a template of so many runs and a window that holds the wanted share of them."""
     held = math.ceil(CONTAINMENT * runs - 1e-9)
@@ -102,16 +134,20 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         kinds[k] = {r.license_id: list(r.runs) for r in frame.collect()}
     found = spark.createDataFrame([], "of_doc long, license_id string, n_runs int, n_found int, first_word long")
     cut = docs.select(F.col(id_col).cast("long").alias("of_doc"), settled(words_of(F.col(text_col))).alias("words")).where("of_doc is not null")
+    classes: dict[tuple[int, int], dict[str, list[int]]] = {}
     some = F.lit(False)
     for k, sized in kinds.items():
         cut = cut.select("*", settled(runs_of(F.col("words"), k)).alias(f"runs_{k}"))
-        some = some | F.arrays_overlap(f"runs_{k}", F.array(*[F.lit(h) for h in sorted({h for runs in sized.values() for h in runs})]))
+        for name, runs in sized.items():
+            classes.setdefault((k, (len(runs) - 1).bit_length()), {})[name] = runs
+    for (k, level), fit in classes.items():
+        cut = cut.withColumn(f"may_{k}_{level}", settled(F.arrays_overlap(f"runs_{k}", constant({h for runs in fit.values() for h in needed(runs)}))))
+        some = some | F.col(f"may_{k}_{level}")
     cut, _ = stored(cut.drop("words").where(some), "license-runs")
-    for k, sized in kinds.items():
-        for level in sorted({(len(runs) - 1).bit_length() for runs in sized.values()}):
-            half = 1 << level
-            fit = {n: runs for n, runs in sized.items() if (len(runs) - 1).bit_length() == level}
-            found = found.unionByName(_scan_class(cut.select("of_doc", F.col(f"runs_{k}").alias("runs")), fit, half, bands_for([len(r) for r in fit.values()], 2 * half)))
+    for (k, level), fit in classes.items():
+        half = 1 << level
+        may = cut.where(f"may_{k}_{level}").select("of_doc", F.col(f"runs_{k}").alias("runs"))
+        found = found.unionByName(_scan_class(may, fit, half, bands_for([len(r) for r in fit.values()], 2 * half)))
     best = found.groupBy("of_doc", "license_id", "n_runs").agg(F.max("n_found").alias("n_found"), F.min("first_word").alias("first_word"))
     return best.withColumnRenamed("of_doc", id_col)
 
