@@ -134,6 +134,12 @@ def test_jaccard_join_recalls_short_pairs(spark):
     assert len(rows) == 2 * pairs and [r.doc_id for r in rows if r.n_links != 1 or r.component_id != r.doc_id // 2 * 2] == []
 
 
+def test_jaccard_join_runs_reach_the_recall_at_every_depth():
+    """Chance of a pair at the threshold to meet after all the splits that a bucket can go through."""
+    for recall in (0.99, 0.9999):
+        assert 1 - (1 - (1 - np.exp(-1)) ** jaccard_join.LEVELS) ** jaccard_join.runs_for(recall) >= recall
+
+
 def test_sketches_of_either_kind_pass_similar_sets():
     """Sets on both sides of SHORT, within a group and across its middle."""
     import pyarrow as pa

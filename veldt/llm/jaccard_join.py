@@ -32,7 +32,7 @@ from .pairs import components, forest, groups, in_blocks, meet, shared_keys
 GRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
-LEVELS = 3
+LEVELS = 2
 #: Buckets up to this size are compared as they are; larger ones are split at the next level.
 SPLIT = 8192
 #: Sketch rows, and sets, of a block.
@@ -47,7 +47,7 @@ MARGIN = 0.17
 _SIGNED = "id long, set_a long, set_b long, size long, sketch binary, parity binary, path_key array<long>, path_run array<int>, more_run array<int>, more_level array<int>, more_token array<long>"
 
 
-def runs_for(recall: float, levels: int = 2) -> int:
+def runs_for(recall: float, levels: int = LEVELS) -> int:
     """Runs after which a pair at the threshold has met at the given depth with that probability.
 
     A pair at the threshold shares one chosen token a level on average at least, so it has
