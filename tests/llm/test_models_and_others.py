@@ -41,6 +41,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(d).encode()) % 3 == 1) for d, r in rows.items())
 
 
+def test_toxicity_learns_from_the_whole_of_long_texts(spark, tmp_path):
+    """An insult past the first KB of 30 KB, between the stretches that op1 would take."""
+    rng = random.Random(4)
+    fresh = lambda n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(4, 9))) for _ in range(n)]
+    docs, labels = [], []
+    for i in range(240):
+        words = fresh(4000)
+        if i % 2:
+            words[350] = "blockhead"
+        docs.append((i, " ".join(words)))
+        labels.append((i, i % 2))
+    docs += [(1000 + i, " ".join([*fresh(8), *["blockhead"][: i % 2]])) for i in range(40)]
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [r for r in queries.op7_toxicity(spark, str(tmp_path)).collect() if r.doc_id >= 1000]
+    assert len(rows) == 40 and sum(r.predicted != r.doc_id % 2 for r in rows) <= 2
+
+
 def test_scores_of_odd_texts(spark):
     net = quality.train([b"good words here", b"!!! !!!"], np.array([1, 0]), rounds=5)
     machine = toxicity.train(["nice day", "stupid day"] * 6, np.array([0, 1] * 6))

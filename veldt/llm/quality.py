@@ -155,9 +155,11 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = ROUNDS, seed: in
     return net
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, allowed, label_col: str, id_col: str = "doc_id", text_col: str = "text", rows: tuple[int, int] = TRAIN_ROWS) -> tuple[list[bytes], np.ndarray]:
+def training_sample(docs: DataFrame, labels: DataFrame, allowed, label_col: str, id_col: str = "doc_id", text_col: str = "text", rows: tuple[int, int] = TRAIN_ROWS, sent=None) -> tuple[list[bytes], np.ndarray]:
     """Texts and labels of at most ``rows`` labelled rows of each label, by the hash of their id. allowed: condition on the label rows.
 
+    sent: what executors make of a list of texts for the driver; evenly spread stretches by default.
+
     rows bounds what comes to the driver and what is sent for the join.
     """
     known = labels.where(allowed).where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("of_id"), F.col(label_col).cast("int").alias("label")).where("of_id is not null").dropDuplicates(["of_id"])
@@ -165,7 +167,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, allowed, label_col: str,
     picked = [(r.of_id, r.label) for r in some[0].unionByName(some[1]).collect()]
     chosen = docs.sparkSession.createDataFrame(picked, "of_id long, label int")
     source = docs.select(F.col(id_col).cast("long").alias("of_id"), F.col(text_col).alias("text"))
-    found = source.join(F.broadcast(chosen), "of_id").select("of_id", "label", "text").mapInArrow(_training_chunks, "of_id long, label int, text binary").collect()
+    found = source.join(F.broadcast(chosen), "of_id").select("of_id", "label", "text").mapInArrow(_training_texts(sent or _stretched), "of_id long, label int, text binary").collect()
     found.sort(key=lambda r: r.of_id)
     return [bytes(r.text) for r in found], np.array([r.label for r in found], np.int64)
 
@@ -174,14 +176,21 @@ def training_sample(docs: DataFrame, labels: DataFrame, allowed, label_col: str,
 _STRETCHES, _STRETCH = 8, 1024
 
 
-def _training_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in text_batches(batches):
-        out = []
-        for t in texts:
-            if len(t) > _STRETCHES * _STRETCH:
-                t = b"".join(t[int(a) : int(a) + _STRETCH] for a in np.linspace(0, len(t) - _STRETCH, _STRETCHES))
-            out.append(t)
-        yield pa.RecordBatch.from_arrays([part.column("of_id"), part.column("label"), pa.array(out, pa.binary())], names=["of_id", "label", "text"])
+def _stretched(texts: list[bytes]) -> list[bytes]:
+    out = []
+    for t in texts:
+        if len(t) > _STRETCHES * _STRETCH:
+            t = b"".join(t[int(a) : int(a) + _STRETCH] for a in np.linspace(0, len(t) - _STRETCH, _STRETCHES))
+        out.append(t)
+    return out
+
+
+def _training_texts(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_batches(batches):
+            yield pa.RecordBatch.from_arrays([part.column("of_id"), part.column("label"), pa.array(sent(texts), pa.binary())], names=["of_id", "label", "text"])
+
+    return run
 
 
 def _scores(sent):

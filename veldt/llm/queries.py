@@ -60,8 +60,8 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    texts, marks = quality.training_sample(docs, labels, crc_mod(F.col("doc_id"), 3) != 1, "toxic", rows=toxicity.TRAIN_ROWS)
-    machine = toxicity.train([t.decode("utf-8", "replace") for t in texts], marks)
+    bags, marks = quality.training_sample(docs, labels, crc_mod(F.col("doc_id"), 3) != 1, "toxic", rows=toxicity.TRAIN_ROWS, sent=toxicity.sent_bags)
+    machine = toxicity.train_bags(toxicity.received_bags(bags), marks)
     return toxicity.scored(docs, machine).select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

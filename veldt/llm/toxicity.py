@@ -74,6 +74,20 @@ def stretches(unit: str) -> list[str]:
     return [unit[i : i + REACH] for i in range(0, len(unit) - STEP, STEP)]
 
 
+def bag(text: str) -> list[str]:
+    """The distinct units of a text, long ones by their stretches, in order."""
+    return sorted({s for u in units(text) for s in stretches(u)})
+
+
+def sent_bags(texts: list[bytes]) -> list[bytes]:
+    """Texts' bags on their way to the driver, one string a line; none holds a line's end."""
+    return ["\n".join(bag(str(t, "utf-8", "replace"))).encode() for t in texts]
+
+
+def received_bags(lines: list[bytes]) -> list[list[str]]:
+    return [t.decode().split("\n") if t else [] for t in lines]
+
+
 @lru_cache(maxsize=64)
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.array(list(combinations(range(n), 3)), np.int64).reshape(-1, 3)
@@ -232,8 +246,11 @@ def disturbed(strings: list[str], rng: np.random.Generator) -> list[str]:
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 3, rounds: int = ROUNDS) -> Machine:
+    return train_bags([bag(t) for t in texts], labels, seed, rounds)
+
+
+def train_bags(bags: list[list[str]], labels: np.ndarray, seed: int = 3, rounds: int = ROUNDS) -> Machine:
     rng = np.random.default_rng(seed)
-    bags = [sorted({s for u in units(t) for s in stretches(u)}) for t in texts]
     toxic = [b for b, y in zip(bags, labels, strict=True) if y == 1]
     clean = [b for b, y in zip(bags, labels, strict=True) if y == 0]
     blank = Machine(np.zeros(SYMBOLS**3, np.float32), 0.0, 1.0, 3.0 if toxic and not clean else -3.0)
