@@ -25,25 +25,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where none is named."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Where it is
+    unset, a private one, but only if driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = f"file://{tempfile.gettempdir()}/checkpoints/{os.getpid()}"
     os.makedirs(own.removeprefix("file://"), exist_ok=True)
     return own
 
 
+#: Paths of tables to be deleted at the end of the innermost ``scratch`` blocks.
+_SCRATCH: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df to a table in the shared folder and read it back: cuts the lineage and
-    survives the loss of any executor."""
+    survives the loss of any executor. Inside ``scratch`` the table goes when that ends."""
+    found = stored_outside(df, name)
+    if _SCRATCH:
+        _SCRATCH[-1].append(found[1])
+    return found
+
+
+def stored_outside(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Like ``stored``, for a table that is read after the innermost ``scratch``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veldt-{name}-{uuid.uuid4().hex[:12]}"
     schema = df.schema
     df.write.parquet(path)
+    if len(_SCRATCH) > 1:
+        _SCRATCH[-2].append(path)
     return spark.read.schema(schema).parquet(path), path
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored inside are deleted at the end: nothing that reads them may be left then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            drop_stored(spark, path)
+
+
 def drop_stored(spark: SparkSession, path: str) -> None:
     """Delete a table of ``stored`` that nothing reads any more."""
     jvm = spark.sparkContext._jvm
@@ -71,6 +100,18 @@ def configured(spark: SparkSession, **settings: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Bytes of an Arrow batch on its way to Python workers.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send Python workers batches of a few megabytes, unless it names a size:
+    with Spark's own of 64 MB a worker holds several times as much for texts alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -89,7 +130,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUES = np.random.default_rng(20240229).integers(1, MASK, 256, dtype=np.uint64, endpoint=True)
+_BYTE_VALUES = np.random.default_rng(20240229).integers(1, MASK, (2, 256), dtype=np.uint64, endpoint=True)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
@@ -112,6 +153,22 @@ def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((prefix[ends] - prefix[starts]) * down[starts])
 
 
+#: Bytes hashed at a time: what a piece needs for a while is some thirty times as much.
+PIECE = 1 << 19
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
+    """Hashes of data[s:e] for rising, disjoint pairs. kind: 0 or 1, for independent ones."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        low = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, low + PIECE, side="right")))
+        out[i:j] = rolling(_BYTE_VALUES[kind][data[low : ends[j - 1]]], starts[i:j] - low, ends[i:j] - low)
+        i = j
+    return out
+
+
 def byte_class(inside) -> np.ndarray:
     return np.array([bool(inside(b)) for b in range(256)])
 
@@ -139,7 +196,7 @@ class Words:
         self.offset = np.concatenate([[0], np.cumsum(sizes + 1)])
         edge = np.diff(kind[self.data].view(np.int8), prepend=np.int8(0), append=np.int8(0))
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.hash = rolling(_BYTE_VALUES[self.data], self.start, self.end)
+        self._hash: np.ndarray | None = None
         bounds = np.searchsorted(self.start, self.offset)
         self.first, self.count = bounds[:-1], np.diff(bounds)
         self.doc = np.repeat(np.arange(len(texts)), self.count)
@@ -147,6 +204,12 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
+    @property
+    def hash(self) -> np.ndarray:
+        if self._hash is None:
+            self._hash = byte_hashes(self.data, self.start, self.end)
+        return self._hash
+
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every run of k consecutive words of one text."""
         if len(self) < k:
@@ -166,7 +229,7 @@ def learned(operator: str) -> dict:
     return LEARNED.setdefault(operator, {})
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 22, operator: str = "") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20, operator: str = "") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about ``most`` bytes of text each, and those texts.
 
     A worker that turns to another operator forgets what the one before has learned.
@@ -195,31 +258,41 @@ def unplanes(raw: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of about ``rows`` rows with whole groups, from batches sorted by keys."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20_000, size: int = 1 << 23) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by keys: of about ``rows`` rows or ``size``
+    bytes, and more only where one group has more."""
     held: list[pa.RecordBatch] = []
-    count = 0
+    count = weight = 0
+    first = None
     for batch in batches:
         if not batch.num_rows:
             continue
+        values = [np.asarray(batch.column(k)) for k in keys]
+        if first is None:
+            first = [v[0] for v in values]
         held.append(batch)
         count += batch.num_rows
-        if count < rows:
+        weight += batch.get_total_buffer_size()
+        last = [v[-1] for v in values]
+        if (count < rows and weight < size) or last == first:
             continue
-        whole = pa.Table.from_batches(held).combine_chunks()
-        cut = 0
-        for key in keys:
-            col = whole.column(key)
-            last = col[len(col) - 1].as_py()
-            same = np.asarray(pa.compute.equal(col, last).combine_chunks())
-            differ = np.flatnonzero(~same)
-            cut = max(cut, int(differ[-1]) + 1 if len(differ) else 0)
+        # The last group may go on in the next batch.
+        same = np.logical_and.reduce([v == x for v, x in zip(values, last, strict=True)])
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
         if cut:
+            held[-1] = batch.slice(0, cut)
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = [batch.slice(cut)]
+        else:
+            # The group began in an earlier batch; what is before it goes out with the batches that hold it alone kept.
+            whole = pa.Table.from_batches(held).combine_chunks()
+            before = np.logical_and.reduce([np.asarray(whole.column(k)) == x for k, x in zip(keys, last, strict=True)])
+            cut = int(np.flatnonzero(~before)[-1]) + 1
             yield whole.slice(0, cut)
             held = whole.slice(cut).to_batches()
-            count = whole.num_rows - cut
-            rows_left = count
-            rows = max(rows, 2 * rows_left) if rows_left > rows else rows
+        count = sum(b.num_rows for b in held)
+        weight = sum(b.nbytes for b in held)
+        first = last
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -236,6 +309,20 @@ def group_bounds(*columns: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(change), n)
 
 
+def one_row_an_id(df: DataFrame, id_col: str) -> DataFrame:
+    """df, with one row for each id: of rows that share an id, the least by its other columns.
+
+    Only ids are counted in a shuffle; where none repeats, df is given back as it is, and
+    otherwise only the rows of repeated ids are compared.
+    """
+    again = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col)
+    if not again.limit(1).count():
+        return df
+    rest = [c for c in df.columns if c != id_col]
+    least = df.join(again, id_col, "left_semi").groupBy(id_col).agg(F.min(F.struct(*rest)).alias("least"))
+    return df.join(again, id_col, "left_anti").select(df.columns).unionByName(least.select(id_col, *(F.col("least")[c].alias(c) for c in rest)))
+
+
 def crc_mod(column, n: int):
     """crc32 of an id as text, modulo n."""
     return F.crc32(column.cast("string").cast("binary")) % n
