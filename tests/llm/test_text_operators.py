@@ -206,7 +206,7 @@ def test_units_make_the_same_ids():
     path = public_tokenizers.path("word_bpe_49k.json")
     odd = ["", "  ", "it's we'll 'tis abc'stop", "é abcéx á,b ß ﬁ ½ ² x²y a1b2", "<|endoftext|> abc<|endoftext|>d", "a.b.,c!d abc...,,,", "x̸=y", "a\x00b \x85 c\x1cd", "😀😀 a😀b", "a b"]
     encode, plain = packing.UnitEncoder(path), Tokenizer.from_file(path)
-    ids, sizes = encode.encode(odd, 1)
+    ids, sizes = encode.encode([t.encode() for t in odd], 1)
     assert ids.tolist() == [i for t in odd for i in [*plain.encode(t, add_special_tokens=False).ids, 1]] and sizes.sum() == len(ids)
 
 
