@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, stored
+from .common import mix, one_row_an_id, stored
 from .pairs import BLOCK, components, forest, groups, in_blocks, meet, shared_keys
 
 THRESHOLD = 0.95
@@ -127,12 +127,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     component_id (the least id reachable by links) and kept (its id is component_id).
 
     Vectors that are null, empty or zero or hold a null or non-finite component link with
-    nothing, nor do vectors of different lengths. Rows whose id is null are left out; ids
-    must be unique. Other columns are ignored whatever their names; an empty table gives
+    nothing, nor do vectors of different lengths. Rows whose id is null are left out;
+    rows that share an id are one, with the least of their vectors. Other columns are ignored whatever their names; an empty table gives
     no rows.
     """
     v = F.col("vector")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("id is not null")
+    rows = one_row_an_id(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("id is not null"), "id")
     sound = (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     usable = rows.where(v.isNotNull()).where(sound)
     alike, _ = stored(usable.groupBy("vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "vectors")

@@ -42,7 +42,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from .common import shared_dir, stored
+from .common import one_row_an_id, shared_dir, stored
 
 ARCHIVE_BYTES = 256 << 20
 PARTITION_BYTES = 128 << 20
@@ -296,13 +296,13 @@ def archived(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
     The payload is the html in UTF-8, a null one is empty. Of the pages with equal payloads
     of at least revisit_bytes bytes, that with the largest id is a response, the others are
     revisits of it, with digest and length of the full payload but no block; all smaller ones
-    are responses. Rows whose id is null are left out; ids must be unique; null urls are left
-    out of the header; other columns are ignored. An empty table gives no archives.
+    are responses. Rows whose id is null are left out; of rows that share an id the one with
+    the least url, then payload, is written; null urls are left out of the header; other columns are ignored. An empty table gives no archives.
 
     Only the digests are compared in a shuffle, not the payloads: one row goes out for each
     digest and task, so a payload that a third of all pages share weighs no more than others.
     """
-    page = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload")).where("page is not null")
+    page = one_row_an_id(pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload")).where("page is not null"), "page")
     page = page.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
     large = page.where(F.col("bytes") >= revisit_bytes).select("page", "digest", "bytes")
     shared = large.groupBy("digest", "bytes").agg(F.max("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
