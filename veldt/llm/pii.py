@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import small_batches, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, MARGIN = 128, 32
@@ -135,8 +135,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _lstm(net: Tagger, x: np.ndarray, side: int, keep: bool) -> tuple[np.ndarray, list]:
     """Outputs in reading order of the direction; x: time x batch."""
     table = net.embed @ net.taken[side] + net.gate[side]
-    h = c = np.zeros((x.shape[1], STATE), np.float32)
-    out, trail = np.empty((len(x), x.shape[1], STATE), np.float32), []
+    h = c = np.zeros((x.shape[1], STATE), table.dtype)
+    out, trail = np.empty((len(x), x.shape[1], STATE), table.dtype), []
     for t in range(len(x)):
         z = table[x[t]] + h @ net.kept[side]
         s = _sigmoid(z[:, : 3 * STATE])
@@ -163,7 +163,7 @@ def emissions(net: Tagger, x: np.ndarray) -> np.ndarray:
 def decode(net: Tagger, x: np.ndarray) -> np.ndarray:
     """Viterbi's best tags, windows x time."""
     score = emissions(net, x)
-    move = np.where(allowed(), net.move, -1e4).astype(np.float32)
+    move = np.where(allowed(), net.move, -1e4).astype(score.dtype)
     best, back = score[0].copy(), np.empty((len(score), x.shape[0], TAGS), np.int8)
     for t in range(1, len(score)):
         each = best[:, :, None] + move
@@ -201,11 +201,42 @@ def _crf(net: Tagger, score: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray,
     for t in range(time):
         d_score[t][rows, tags[:, t]] -= 1
     np.subtract.at(d_move, (tags[:, :-1].reshape(-1), tags[:, 1:].reshape(-1)), 1)
-    return (d_score / batch).astype(np.float32), (d_move / batch).astype(np.float32)
+    return (d_score / batch).astype(score.dtype), (d_move / batch).astype(score.dtype)
+
+
+def gradients(net: Tagger, windows: np.ndarray, tags: np.ndarray) -> list[np.ndarray]:
+    """Of the mean negative log-likelihood, in the order of parts(), back through time."""
+    x = np.ascontiguousarray(windows.T)
+    out, trails = zip(*(_lstm(net, x if s == 0 else x[::-1], s, True) for s in (0, 1)), strict=True)
+    both = np.concatenate([out[0], out[1][::-1]], 2)
+    d_score, d_move = _crf(net, both @ net.emit + net.emit_bias, tags)
+    d_emit, d_bias = np.einsum("tbh,tbk->hk", both, d_score), d_score.sum((0, 1))
+    d_both = d_score @ net.emit.T
+    d_embed, d_taken, d_kept, d_gate = np.zeros_like(net.embed), [], [], []
+    for s in (0, 1):
+        d_out = d_both[:, :, :STATE] if s == 0 else d_both[::-1, :, STATE:]
+        order = x if s == 0 else x[::-1]
+        dz = np.empty((len(x), x.shape[1], 4 * STATE), net.embed.dtype)
+        dh = dc = np.zeros((x.shape[1], STATE), net.embed.dtype)
+        g_kept = np.zeros_like(net.kept[s])
+        for t in range(len(x) - 1, -1, -1):
+            h0, c0, i, f, o, g, tc = trails[s][t]
+            dh = dh + d_out[t]
+            dc = dc + dh * o * (1 - tc * tc)
+            dz[t] = np.concatenate([dc * g * i * (1 - i), dc * c0 * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], 1)
+            g_kept += h0.T @ dz[t]
+            dh = dz[t] @ net.kept[s].T
+            dc = dc * f
+        cell = np.stack([np.bincount(order.reshape(-1), dz[:, :, k].reshape(-1), SYMBOLS) for k in range(4 * STATE)], 1).astype(net.embed.dtype)
+        d_taken.append(net.embed.T @ cell)
+        d_embed += cell @ net.taken[s].T
+        d_kept.append(g_kept)
+        d_gate.append(cell.sum(0))
+    return [d_embed, *d_taken, *d_kept, *d_gate, d_emit, d_bias, d_move]
 
 
 def train(windows: np.ndarray, tags: np.ndarray, rounds: int = ROUNDS, seed: int = 9) -> Tagger:
-    """Adam on the CRF's likelihood, back through time, of batches half of which hold spans."""
+    """Adam on the CRF's likelihood, of batches most of which hold spans."""
     rng = np.random.default_rng(seed)
     f32 = np.float32
     make = lambda *n: rng.normal(0, 1 / np.sqrt(n[0]), n).astype(f32)
@@ -223,34 +254,8 @@ def train(windows: np.ndarray, tags: np.ndarray, rounds: int = ROUNDS, seed: int
     m, v = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()]
     for turn in range(1, rounds + 1):
         pick = np.concatenate([rng.choice(with_, BATCH * 3 // 4), rng.choice(without, BATCH // 4)])
-        x, y = np.ascontiguousarray(windows[pick].T), tags[pick]
-        out, trails = zip(*(_lstm(net, x if s == 0 else x[::-1], s, True) for s in (0, 1)), strict=True)
-        both = np.concatenate([out[0], out[1][::-1]], 2)
-        d_score, d_move = _crf(net, both @ net.emit + net.emit_bias, y)
-        d_emit, d_bias = np.einsum("tbh,tbk->hk", both, d_score), d_score.sum((0, 1))
-        d_both = d_score @ net.emit.T
-        d_embed, d_taken, d_kept, d_gate = np.zeros_like(net.embed), [], [], []
-        for s in (0, 1):
-            d_out = d_both[:, :, :STATE] if s == 0 else d_both[::-1, :, STATE:]
-            order = x if s == 0 else x[::-1]
-            dz = np.empty((len(x), x.shape[1], 4 * STATE), f32)
-            dh = dc = np.zeros((x.shape[1], STATE), f32)
-            g_kept = np.zeros_like(net.kept[s])
-            for t in range(len(x) - 1, -1, -1):
-                h0, c0, i, f, o, g, tc = trails[s][t]
-                dh = dh + d_out[t]
-                dc = dc + dh * o * (1 - tc * tc)
-                dz[t] = np.concatenate([dc * g * i * (1 - i), dc * c0 * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], 1)
-                g_kept += h0.T @ dz[t]
-                dh = dz[t] @ net.kept[s].T
-                dc = dc * f
-            cell = np.stack([np.bincount(order.reshape(-1), dz[:, :, k].reshape(-1), SYMBOLS) for k in range(4 * STATE)], 1).astype(f32)
-            d_taken.append(net.embed.T @ cell)
-            d_embed += cell @ net.taken[s].T
-            d_kept.append(g_kept)
-            d_gate.append(cell.sum(0))
         rate = 0.02 * min(1, turn / 20) * (1 - turn / (rounds + 1)) + 2e-4
-        for i, (p, g) in enumerate(zip(net.parts(), (d_embed, *d_taken, *d_kept, *d_gate, d_emit, d_bias, d_move), strict=True)):
+        for i, (p, g) in enumerate(zip(net.parts(), gradients(net, windows[pick], tags[pick]), strict=True)):
             g = np.clip(g, -1, 1)
             m[i] += 0.1 * (g - m[i])
             v[i] += 0.01 * (g * g - v[i])
@@ -374,6 +379,7 @@ def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     """A tagger trained on at most ``windows`` windows with spans and as many without, by the
     hash of their place, from about ``documents`` documents (all, if there are fewer), by the
     hash of their id."""
+    small_batches(docs.sparkSession)
     share = min(1.0, documents / max(1, docs.count()))
     by_id = F.pmod(F.xxhash64("of_id"), F.lit(1 << 30)) < int(share * (1 << 30))
     source = docs.select(F.col(id_col).cast("long").alias("of_id"), F.col(text_col).alias("text")).where(by_id)
@@ -403,6 +409,7 @@ def personal_data(docs: DataFrame, net: Tagger, id_col: str = "doc_id", text_col
     Null and empty texts have none. Repeated rows are read each; a null id stays null; other
     columns are ignored whatever their names; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
     source = docs.select(F.col(id_col).cast("long").alias("of_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(_find(sent), f"of_id long, base {_SPANS}, added {_SPANS}").withColumnRenamed("of_id", id_col)
@@ -432,5 +439,6 @@ def _mask(sent):
 
 def masked(docs: DataFrame, net: Tagger) -> DataFrame:
     """docs with each span of its text column replaced by its kind in brackets, and n_chars, if there, brought up to date."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
     return docs.mapInArrow(_mask(sent), docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import small_batches, text_batches
 
 #: Bytes of a chunk, and of the overlap of two: one less than a filter's width, so that no place is left out.
 CHUNK = 256
@@ -30,8 +30,6 @@ HIDDEN = 16
 STRIDE = 2
 #: Labelled rows used for training at most, of label 0 and of label 1.
 TRAIN_ROWS = (1500, 1500)
-#: Chunks of a training text at most, evenly spread over it. Scoring reads all chunks.
-TRAIN_CHUNKS = 8
 ROUNDS = 700
 BATCH = 48
 
@@ -67,13 +65,16 @@ def _patches(net: Network, x: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(e, (len(x), places, TAPS * EMBED), (s[0], STRIDE * s[1], s[2]))
 
 
+def responses(net: Network, x: np.ndarray) -> np.ndarray:
+    """chunks x places x FILTERS."""
+    return (np.ascontiguousarray(_patches(net, x)).reshape(-1, TAPS * EMBED) @ net.filters).reshape(len(x), -1, FILTERS)
+
+
 def pooled(net: Network, x: np.ndarray) -> np.ndarray:
     """chunks x FILTERS: each filter's largest response in each chunk."""
     if not len(x):
-        return np.zeros((0, FILTERS), np.float32)
-    p = _patches(net, x)
-    response = np.ascontiguousarray(p).reshape(-1, TAPS * EMBED) @ net.filters
-    return np.maximum(response.reshape(len(x), -1, FILTERS).max(1) + net.bias, 0)
+        return np.zeros((0, FILTERS), net.filters.dtype)
+    return np.maximum(responses(net, x).max(1) + net.bias, 0)
 
 
 def combine(net: Network, top: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,8 +95,42 @@ def score(net: Network, texts: list[bytes], piece: int = 1024) -> np.ndarray:
     return combine(net, top, first)[2].astype(np.float64)
 
 
+def gradients(net: Network, x: np.ndarray, size: np.ndarray, y: np.ndarray, piece: int = 128) -> tuple[float, list[np.ndarray]]:
+    """Mean cross entropy of texts of so many chunks each, and its gradients in the order of parts()."""
+    first = np.cumsum(size) - size
+    at, raw = [], []
+    for i in range(0, len(x), piece):
+        response = responses(net, x[i : i + piece])
+        at.append(response.argmax(1))
+        raw.append(np.take_along_axis(response, at[-1][:, None], 1)[:, 0])
+    at, raw = np.concatenate(at), np.concatenate(raw) + net.bias
+    top = np.maximum(raw, 0)
+    features, h, p = combine(net, top, first)
+    loss = -float(np.mean(np.where(y == 1, np.log(p), np.log(1 - p))))
+    dz = ((p - y) / len(y)).astype(top.dtype)
+    dh = np.outer(dz, net.out) * (h > 0)
+    df = dh @ net.hidden.T
+    owner = np.repeat(np.arange(len(size)), size)
+    dtop = df[owner, :FILTERS] / size[owner, None]
+    for k in (1, 2):  # maximum and minimum
+        hit = top == features[owner, k * FILTERS : (k + 1) * FILTERS]
+        dtop += hit / np.maximum(np.add.reduceat(hit, first, dtype=np.int64)[owner], 1) * df[owner, k * FILTERS : (k + 1) * FILTERS]
+    dtop = (dtop * (raw > 0)).astype(top.dtype)
+    # Only the best place of each filter in each chunk has a part in the loss.
+    g_filters, g_embed = np.zeros_like(net.filters), np.zeros((257, EMBED))
+    for i in range(0, len(x), piece):
+        own, d = slice(i, i + piece), dtop[i : i + piece]
+        place = (at[own] * STRIDE)[:, :, None] + np.arange(TAPS)
+        byte = x[own][np.arange(len(d))[:, None, None], place]  # chunks x FILTERS x TAPS
+        g_filters += np.einsum("cfk,cf->kf", net.embed[byte].reshape(*d.shape, -1), d)
+        spread = (d[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
+        flat = byte.reshape(-1)
+        g_embed += np.stack([np.bincount(flat, spread[:, e], 257) for e in range(EMBED)], 1)
+    return loss, [g_embed.astype(top.dtype), g_filters, dtop.sum(0), features.T @ dh, dh.sum(0), h.T @ dz, dz.sum(keepdims=True)]
+
+
 def train(texts: list[bytes], labels: np.ndarray, rounds: int = ROUNDS, seed: int = 5) -> Network:
-    """Adam on the cross entropy of batches with both labels alike."""
+    """Adam on the cross entropy of batches of whole texts with both labels alike."""
     rng = np.random.default_rng(seed)
     f32 = np.float32
     net = Network(
@@ -112,43 +147,13 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = ROUNDS, seed: in
         net.out[:] = 0
         net.out_bias[:] = 3 if len(of[1]) else -3
         return net
-    cut = [chunks(t) for t in texts]
     m, v = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()]
     for turn in range(1, rounds + 1):
         pick = np.concatenate([rng.choice(o, BATCH // 2) for o in of])
-        some = [cut[i] if len(cut[i]) <= TRAIN_CHUNKS else cut[i][np.sort(rng.choice(len(cut[i]), TRAIN_CHUNKS, False))] for i in pick]
-        y = labels[pick].astype(f32)
-        x = np.concatenate(some)
-        size = np.array([len(c) for c in some])
-        first = np.cumsum(size) - size
-        patches = np.ascontiguousarray(_patches(net, x))
-        flat = patches.reshape(-1, TAPS * EMBED)
-        response = (flat @ net.filters).reshape(len(x), -1, FILTERS)
-        at = response.argmax(1)
-        raw = np.take_along_axis(response, at[:, None], 1)[:, 0] + net.bias
-        top = np.maximum(raw, 0)
-        features, h, p = combine(net, top, first)
-        dz = ((p - y) / len(y)).astype(f32)
-        g_out, g_out_bias = h.T @ dz, dz.sum(keepdims=True)
-        dh = np.outer(dz, net.out) * (h > 0)
-        g_hidden, g_hidden_bias = features.T @ dh, dh.sum(0)
-        df = dh @ net.hidden.T
-        owner = np.repeat(np.arange(len(size)), size)
-        dtop = df[owner, :FILTERS] / size[owner, None]
-        for k, pool in ((1, features[:, FILTERS : 2 * FILTERS]), (2, features[:, 2 * FILTERS :])):
-            hit = top == pool[owner]
-            hit = hit / np.maximum(np.add.reduceat(hit, first)[owner], 1)
-            dtop += hit * df[owner, k * FILTERS : (k + 1) * FILTERS]
-        dtop = (dtop * (raw > 0)).astype(f32)
-        rows = np.arange(len(x))[:, None]
-        best = patches[rows, at]  # chunks x FILTERS x TAPS * EMBED
-        g_filters = np.einsum("cfk,cf->kf", best, dtop)
-        dpatch = (dtop[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
-        place = (at * STRIDE)[:, :, None] + np.arange(TAPS)
-        byte = x[rows[:, :, None], place].reshape(-1)
-        g_embed = np.stack([np.bincount(byte, dpatch[:, e], 257) for e in range(EMBED)], 1).astype(f32)
+        some = [chunks(texts[i]) for i in pick]
+        _, found = gradients(net, np.concatenate(some), np.array([len(c) for c in some]), labels[pick])
         rate = 0.01 * min(1, turn / 30) * (1 - turn / (rounds + 1)) + 1e-4
-        for i, (p_, g) in enumerate(zip(net.parts(), (g_embed, g_filters, dtop.sum(0), g_hidden, g_hidden_bias, g_out, g_out_bias), strict=True)):
+        for i, (p_, g) in enumerate(zip(net.parts(), found, strict=True)):
             m[i] += 0.1 * (g - m[i])
             v[i] += 0.01 * (g * g - v[i])
             p_ -= rate * (m[i] / (1 - 0.9**turn)) / (np.sqrt(v[i] / (1 - 0.99**turn)) + 1e-8)
@@ -158,33 +163,22 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = ROUNDS, seed: in
 def training_sample(docs: DataFrame, labels: DataFrame, allowed, label_col: str, id_col: str = "doc_id", text_col: str = "text", rows: tuple[int, int] = TRAIN_ROWS, sent=None) -> tuple[list[bytes], np.ndarray]:
     """Texts and labels of at most ``rows`` labelled rows of each label, by the hash of their id. allowed: condition on the label rows.
 
-    sent: what executors make of a list of texts for the driver; evenly spread stretches by default.
-
-    rows bounds what comes to the driver and what is sent for the join.
+    sent: what executors make of a list of texts for the driver; whole texts by default.
+    rows bounds how many come to the driver and are sent for the join. Rows of labels that
+    share an id count as one, with the larger label; labels other than 0 and 1 and null ids
+    don't count; without labels, documents or both there is nothing to learn from.
     """
-    known = labels.where(allowed).where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("of_id"), F.col(label_col).cast("int").alias("label")).where("of_id is not null").dropDuplicates(["of_id"])
+    known = labels.where(allowed).where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("of_id")).agg(F.max(F.col(label_col).cast("int")).alias("label")).where("of_id is not null")
     some = [known.where(F.col("label") == v).orderBy(F.xxhash64("of_id"), "of_id").limit(rows[v]) for v in (0, 1)]
     picked = [(r.of_id, r.label) for r in some[0].unionByName(some[1]).collect()]
     chosen = docs.sparkSession.createDataFrame(picked, "of_id long, label int")
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("of_id"), F.col(text_col).alias("text"))
-    found = source.join(F.broadcast(chosen), "of_id").select("of_id", "label", "text").mapInArrow(_training_texts(sent or _stretched), "of_id long, label int, text binary").collect()
-    found.sort(key=lambda r: r.of_id)
+    found = source.join(F.broadcast(chosen), "of_id").select("of_id", "label", "text").mapInArrow(_training_texts(sent or list), "of_id long, label int, text binary").collect()
+    found.sort(key=lambda r: (r.of_id, r.text))
     return [bytes(r.text) for r in found], np.array([r.label for r in found], np.int64)
 
 
-#: Bytes of a training text that come to the driver: so many stretches of so many bytes, evenly spread.
-_STRETCHES, _STRETCH = 8, 1024
-
-
-def _stretched(texts: list[bytes]) -> list[bytes]:
-    out = []
-    for t in texts:
-        if len(t) > _STRETCHES * _STRETCH:
-            t = b"".join(t[int(a) : int(a) + _STRETCH] for a in np.linspace(0, len(t) - _STRETCH, _STRETCHES))
-        out.append(t)
-    return out
-
-
 def _training_texts(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_batches(batches):
@@ -196,7 +190,7 @@ def _training_texts(sent):
 def _scores(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
-        for part, texts in text_batches(batches, most=1 << 21):
+        for part, texts in text_batches(batches):
             yield pa.RecordBatch.from_arrays([part.column("of_id"), pa.array(score(net, texts))], names=["of_id", "score"])
 
     return run
@@ -209,6 +203,7 @@ def scored(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
     scored each; a null id stays null; other columns are ignored whatever their names; an
     empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
     source = docs.select(F.col(id_col).cast("long").alias("of_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(_scores(sent), "of_id long, score double").withColumnRenamed("of_id", id_col)
@@ -217,13 +212,15 @@ def scored(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
 def _passing(sent, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
-        for part, texts in text_batches(batches, most=1 << 21):
+        for part, texts in text_batches(batches):
             yield part.filter(pa.array(score(net, texts) >= least))
 
     return run
 
 
 def passing(docs: DataFrame, net: Network, least: float) -> DataFrame:
-    """The rows of docs, all columns, whose text column scores ``least`` or more."""
+    """The rows of docs, all columns, whose text column scores ``least`` or more. Null and
+    empty texts are scored as one chunk of padding; every row, repeated or not, is judged by itself."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
     return docs.mapInArrow(_passing(sent, least), docs.schema)

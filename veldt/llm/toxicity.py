@@ -23,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import sha256
 from itertools import combinations
 from zlib import crc32
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import learned, mix, text_batches
+from .common import learned, mix, small_batches, text_batches
 
 DECAY = 0.8
 #: Characters of a stretch at most, and how far the next begins.
@@ -134,6 +135,10 @@ class Machine:
     slope: float = 1.0
     offset: float = 0.0
 
+    def name(self) -> str:
+        """A digest of what gives strings their values."""
+        return sha256(self.table.tobytes() + np.float64(self.bias).tobytes()).hexdigest()
+
     def values(self, strings: list[str]) -> np.ndarray:
         """The machine's value of each string; strings of fewer than three characters have the bias."""
         out = np.full(len(strings), self.bias, np.float32)
@@ -296,9 +301,9 @@ def _calibrated(machine: Machine, best: np.ndarray, labels: np.ndarray) -> Machi
     return machine
 
 
-def text_values(machine: Machine, texts: list[str]) -> np.ndarray:
-    """Each text's highest unit value; a worker keeps the values of the units it has met."""
-    memo = learned("toxicity").setdefault(machine.table.tobytes()[:4096] + np.float64(machine.bias).tobytes(), {})
+def text_values(machine: Machine, texts: list[str], name: str = "") -> np.ndarray:
+    """Each text's highest unit value; a worker keeps the values of the units it has met, under the machine's name."""
+    memo = learned("toxicity").setdefault(name or machine.name(), {})
     found = [units(t) for t in texts]
     new = set().union(*found).difference(memo)
     if len(memo) + len(new) > MEMO_UNITS:
@@ -311,12 +316,12 @@ def text_values(machine: Machine, texts: list[str]) -> np.ndarray:
 
 def _scores(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = sent.value
+        machine, name = sent.value
         memos = learned("toxicity")
-        for key in [k for k in memos if k != machine.table.tobytes()[:4096] + np.float64(machine.bias).tobytes()]:
+        for key in set(memos) - {name}:
             del memos[key]
-        for part, texts in text_batches(batches, most=1 << 21, operator="toxicity"):
-            best = text_values(machine, [t.decode("utf-8", "replace") for t in texts])
+        for part, texts in text_batches(batches, operator="toxicity"):
+            best = text_values(machine, [t.decode("utf-8", "replace") for t in texts], name)
             yield pa.RecordBatch.from_arrays([part.column("of_id"), pa.array(machine.probability(best).astype(np.float64))], names=["of_id", "score"])
 
     return run
@@ -329,6 +334,7 @@ def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
     rows are scored each; a null id stays null; other columns are ignored whatever their
     names; an empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(machine)
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast((machine, machine.name()))
     source = docs.select(F.col(id_col).cast("long").alias("of_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(_scores(sent), "of_id long, score double").withColumnRenamed("of_id", id_col)
