@@ -4,8 +4,8 @@ A document's set holds the hashes of its runs of ``gram`` words. In each of seve
 set chooses the tokens whose hash under the run falls below 1 / (threshold * its size);
 similar sets choose the same ones. A set goes to the bucket of each token chosen. Buckets
 of moderate size are compared by brute force, larger ones are split again by tokens chosen
-under the next level's hash; what is still large at the last level is compared in blocks,
-so nothing is capped. The number of runs follows from the wanted recall.
+under the next level's hash, twice as many; what is still large at the last level is
+compared in blocks, so nothing is capped. The number of runs follows from the wanted recall.
 
 Equal sets are one from the start. A bucket compares 512-bit sketches and gives a spanning
 forest of what passes. Of small sets the sketch holds the parity of each bin's tokens: two
@@ -26,17 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, configured, mix, release, rolling, stored, text_batches
+from .common import ALNUM, Words, configured, drop_stored, mix, one_row_an_id, release, rolling, scratch, small_batches, stored, stored_outside, text_batches
 from .pairs import components, forest, groups, in_blocks, meet, shared_keys
 
 GRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 LEVELS = 2
+#: Tokens that a pair at the threshold shares on average, at least, of those chosen at each level.
+SHARED = (1.0, 2.0)
 #: Buckets up to this size are compared as they are; larger ones are split at the next level.
 SPLIT = 8192
 #: Sketch rows, and sets, of a block.
-SKETCH_BLOCK = 4096
+SKETCH_BLOCK = 2048
 SET_BLOCK = 1024
 BITS = 512
 #: Sets below this size are compared by parities, which lose no pair.
@@ -50,10 +52,11 @@ _SIGNED = "id long, set_a long, set_b long, size long, sketch binary, parity bin
 def runs_for(recall: float, levels: int = LEVELS) -> int:
     """Runs after which a pair at the threshold has met at the given depth with that probability.
 
-    A pair at the threshold shares one chosen token a level on average at least, so it has
-    one with probability 1 - 1/e at least.
+    Of the tokens chosen at a level a pair at the threshold shares SHARED on average at least,
+    so it shares one with probability 1 - exp(-SHARED) at least.
     """
-    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - math.exp(-1)) ** levels))
+    met = math.prod(1 - math.exp(-n) for n in SHARED[:levels])
+    return math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
 def shingle_sets(texts: list[bytes], gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,11 +144,11 @@ def _sign(gram: int, threshold: float, runs: int):
                 sums.append(mix(total[ends[1:]] - total[ends[:-1]]).view(np.int64))
             use = np.repeat(sizes >= least, sizes)
             hashes, owner = hashes[use], owner[use]
-            limit = np.minimum(2.0**64 / (threshold * np.maximum(sizes, 1)), 2.0**63).astype(np.uint64)[owner]
+            limits = [np.minimum(n * 2.0**64 / (threshold * np.maximum(sizes, 1)), 2.0**64 - 2048).astype(np.uint64)[owner] for n in SHARED]
             picked: list[tuple] = []
             for r in range(runs):
                 for level in range(LEVELS):
-                    at = np.flatnonzero(hashes * seeds[r, level] < limit)
+                    at = np.flatnonzero(hashes * seeds[r, level] < limits[level])
                     picked.append((owner[at], np.full(len(at), r), np.full(len(at), level), mix(hashes[at] + seeds[r, level])))
             who, which, depth, token = (np.concatenate(x) for x in zip(*picked, strict=True))
             order = np.argsort(who, kind="stable")
@@ -310,32 +313,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and link with nothing. Rows whose id is null are left out; ids must be unique. Other
     columns are ignored whatever their names; an empty table gives no rows.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    signed, _ = stored(source.mapInArrow(_sign(gram, threshold, runs_for(recall)), _SIGNED), "signed")
-    sized = signed.where("size > 0")
-    equal, _ = stored(sized.groupBy("set_a", "set_b").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "equal")
-    firsts = signed.join(equal.select(F.col("first").alias("id"), "copies"), "id")
-
-    buckets = in_blocks(_buckets(firsts, split), sketch_block)
-    release(docs.sparkSession)
-    edges = meet(buckets.join(signed.select("id", "size", "sketch", "parity"), "id"), _sketch_edges(threshold), "a long, b long")
+    spark = docs.sparkSession
+    small_batches(spark)
+    source = one_row_an_id(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null"), "id")
+    signed, signed_path = stored(source.mapInArrow(_sign(gram, threshold, runs_for(recall)), _SIGNED), "signed")
+    sized, _ = stored(signed.select("id", "set_a", "set_b", "size"), "sized")
+    equal, _ = stored(sized.where("size > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "equal")
+    firsts = signed.join(equal.select(F.col("first").alias("id"), "copies").hint("merge"), "id")
+
+    with scratch(spark):
+        buckets = in_blocks(_buckets(firsts, split), sketch_block)
+        release(spark)
+        edges = meet(buckets.join(signed.select("id", "size", "sketch", "parity").hint("merge"), "id"), _sketch_edges(threshold), "a long, b long")
+        edges, edge_path = stored_outside(edges.distinct(), "sketch-edges")
+    drop_stored(spark, signed_path)
+    release(spark)
     near = components(edges, "sketched")
-    release(docs.sparkSession)
-
-    members = near.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    inside = in_blocks(near.join(members, "comp").select(F.col("comp").alias("key"), "id", "members"), set_block)
-    wanted, _ = stored(near.select("id").join(equal.select(F.col("first").alias("id"), "copies"), "id"), "wanted")
-    # Most texts are in no component. Spark's run-time Bloom filter (8 MB at most, and only while
-    # the ids' table is small enough) drops them before the shuffle; what it lets through is joined.
-    sets = source.join(wanted.where("copies > 0"), "id").mapInArrow(_sets(gram), "id long, copies long, shingles binary")
-    bloom = "spark__sql__optimizer__runtime__bloomFilter__"
-    with configured(docs.sparkSession, **{f"{bloom}enabled": "true", f"{bloom}applicationSideScanSizeThreshold": "0"}):
-        compared, _ = stored(meet(inside.join(sets, "id"), _exact(threshold), "id long, other long, links long"), "compared")
+    drop_stored(spark, edge_path)
+    release(spark)
+
+    with scratch(spark):
+        members = near.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
+        inside = in_blocks(near.join(members, "comp").select(F.col("comp").alias("key"), "id", "members"), set_block)
+        wanted, _ = stored(near.select("id").join(equal.select(F.col("first").alias("id"), "copies"), "id"), "wanted")
+        # Most texts are in no component. Spark's run-time Bloom filter (8 MB at most, and only while
+        # the ids' table is small enough) drops them before the shuffle; what it lets through is joined.
+        sets = source.join(wanted.where("copies > 0"), "id").mapInArrow(_sets(gram), "id long, copies long, shingles binary")
+        bloom = "spark__sql__optimizer__runtime__bloomFilter__"
+        with configured(spark, **{f"{bloom}enabled": "true", f"{bloom}applicationSideScanSizeThreshold": "0"}):
+            compared, _ = stored_outside(meet(inside.join(sets, "id"), _exact(threshold), "id long, other long, links long"), "compared")
+    release(spark)
     links = compared.groupBy("id").agg(F.sum("links").alias("links"))
     linked = components(compared.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")), "linked")
 
     facts = equal.join(linked.withColumnRenamed("id", "first"), "first", "left").join(links.withColumnRenamed("id", "first"), "first", "left")
-    of = signed.select("id", "set_a", "set_b", "size").join(facts, ["set_a", "set_b"], "left")
+    of = sized.join(facts, ["set_a", "set_b"], "left")
     some = F.col("size") > 0
     component = F.when(some, F.coalesce("comp", "first")).otherwise(F.col("id"))
     return of.select(

@@ -145,7 +145,7 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = ROUNDS, seed: in
     of = [np.flatnonzero(labels == v) for v in (0, 1)]
     if not len(of[0]) or not len(of[1]):
         net.out[:] = 0
-        net.out_bias[:] = 3 if len(of[1]) else -3
+        net.out_bias[:] = -3 if len(of[0]) else 3  # without any labels as if all were 1
         return net
     m, v = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()]
     for turn in range(1, rounds + 1):
