@@ -7,16 +7,22 @@ the check's. FRAMES holds queries by DataFrame operators, with the check's text.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.aggregates import aggregate, text_sum
+from .functions.aggregates import aggregate, register, register_fold, text_sum
 from .functions.scalar import call
 from .operators import changes, joins, relational
+from .plans import joins as planned
 from .plans import predicates as p
-from .session import linq
+from .plans import text
+from .plans.access import IndexedTable
+from .session import Catalog, linq
+from .sources.storage import shared_dir
+from .sources.tables import from_files, save
 
 TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
 
@@ -60,13 +66,13 @@ SAME: dict[str, str] = {
     "join_left_residual": "SELECT o.o_orderkey, l.l_linenumber, l.l_quantity FROM {orders} o LEFT JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey AND l.l_quantity > 45",
     "join_multi_key": "SELECT c.c_custkey, s.s_suppkey FROM {customer} c JOIN {supplier} s ON c.c_nationkey = s.s_nationkey AND c.c_custkey % 100 = s.s_suppkey",
     "join_computed_key": "SELECT c.c_custkey, s.s_suppkey FROM {customer} c JOIN {supplier} s ON CEIL(c.c_custkey / 10 + 5) = FLOOR(s.s_suppkey * 10 - 3)",
-    "join_theta": "SELECT a.n_nationkey AS low, b.n_nationkey AS high FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
+    "join_theta": "SELECT a.n_nationkey AS low, b.n_nationkey AS high FROM {nation} a JOIN {nation} b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey <> b.n_regionkey",
     "join_theta_left": "SELECT a.n_nationkey, r.r_regionkey FROM {nation} a LEFT JOIN {region} r ON a.n_nationkey < r.r_regionkey",
     "join_cross": "SELECT n_nationkey, r_regionkey FROM {nation} CROSS JOIN {region}",
     "join_comma_where": "SELECT o.o_orderkey, c.c_custkey FROM {orders} o, {customer} c WHERE o.o_custkey = c.c_custkey AND c.c_nationkey = 3",
     "join_natural": "SELECT doc_id, n_chars, quality, toxic FROM {documents} NATURAL JOIN {labels}",
     "join_right": "SELECT l.doc_id AS labelled, d.doc_id FROM {labels} l RIGHT JOIN {documents} d ON l.doc_id = d.doc_id",
-    "join_full": "SELECT c.c_custkey, s.s_suppkey FROM (SELECT * FROM {customer} WHERE c_custkey < 150) c FULL OUTER JOIN {supplier} s ON c.c_custkey = s.s_suppkey + 80",
+    "join_full": "SELECT c.c_custkey, s.s_suppkey FROM {customer} c FULL OUTER JOIN {supplier} s ON c.c_custkey = s.s_suppkey * 30",
     "join_three_way": "SELECT r.r_name, n.n_name, COUNT(*) AS n_orders FROM {region} r JOIN {nation} n ON n.n_regionkey = r.r_regionkey JOIN {customer} c ON c.c_nationkey = n.n_nationkey JOIN {orders} o ON o.o_custkey = c.c_custkey GROUP BY r.r_name, n.n_name",
     "join_lateral": "SELECT n.n_nationkey, x.n_rich FROM {nation} n, LATERAL (SELECT COUNT(*) AS n_rich FROM {customer} c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal > 5000) x",
     "join_lateral_left": "SELECT n.n_nationkey, x.best FROM {nation} n LEFT JOIN LATERAL (SELECT MAX(c.c_acctbal) AS best FROM {customer} c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9900) x ON TRUE",
@@ -78,7 +84,7 @@ SAME: dict[str, str] = {
     "union_distinct": "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey AS k FROM {supplier}",
     "union_all": "SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT s_nationkey AS k FROM {supplier}",
     "intersect": "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey AS k FROM {supplier}",
-    "except": "SELECT n_nationkey AS k FROM {nation} EXCEPT SELECT s_nationkey AS k FROM {supplier} WHERE s_suppkey < 12",
+    "except": "SELECT n_nationkey + 5 AS k FROM {nation} EXCEPT SELECT s_nationkey AS k FROM {supplier}",
     "derived_table": "SELECT t.k, t.n FROM (SELECT c_nationkey AS k, COUNT(*) AS n FROM {customer} GROUP BY c_nationkey) t WHERE t.n > 50",
     "where_on_alias": "SELECT k FROM (SELECT o_custkey + 1 AS k FROM {orders}) t WHERE k = 10",
     "wildcard": "SELECT r.*, n.n_name FROM {region} r JOIN {nation} n ON n.n_regionkey = r.r_regionkey",
@@ -91,6 +97,8 @@ SAME: dict[str, str] = {
     "subq_all": "SELECT p_partkey FROM {part} WHERE p_size > ALL (SELECT n_nationkey FROM {nation})",
     "subq_all_null": "SELECT p_partkey FROM {part} WHERE p_size >= ALL (SELECT NULLIF(n_nationkey, 3) FROM {nation})",
     "subq_all_empty": "SELECT p_partkey FROM {part} WHERE p_size < ALL (SELECT n_nationkey FROM {nation} WHERE n_nationkey > 99)",
+    "subq_all_computed": "SELECT p_partkey FROM {part} WHERE p_size + 1 > ALL (SELECT n_nationkey FROM {nation}) AND 2 * p_size <> ANY (SELECT n_regionkey FROM {nation})",
+    "subq_any_null": "SELECT p_partkey, p_size < ANY (SELECT NULLIF(n_nationkey, 24) FROM {nation}) AS below FROM {part}",
     "str_position": "SELECT p_partkey, CAST(POSITION('a' IN p_name) AS BIGINT) AS at FROM {part}",
     "date_extract": "SELECT o_orderkey, CAST(EXTRACT(YEAR FROM o_orderdate) AS BIGINT) AS y, CAST(EXTRACT(MONTH FROM o_orderdate) AS BIGINT) AS m, CAST(EXTRACT(DAY FROM o_orderdate) AS BIGINT) AS d FROM {orders}",
     "flagship": "SELECT c.c_custkey AS user_id, ROUND(SUM(o.o_totalprice), 2) AS score FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey ORDER BY score DESC, user_id",
@@ -184,15 +192,77 @@ def _frames() -> dict[str, tuple[Callable[..., DataFrame], str | None]]:
         return f"SELECT c_custkey, s_suppkey FROM customer {how} JOIN supplier ON (({first}) OR c_custkey = s_suppkey) AND c_acctbal > s_acctbal"
 
     def filtered(name: str, tree, columns: list[str]):
-        return lambda t: t(name).filter(p.column(p.optimized(tree))).select(*columns)
+        return lambda t: (lambda df: df.filter(p.column(p.optimized(tree, df.schema))).select(*columns))(t(name))
 
     def first_order(t):
         return relational.group_with_first(t("orders"), ["o_custkey"], F.struct("o_orderdate", "o_orderkey"), aggregate("count").alias("n")).select("o_custkey", F.col("o_orderkey").alias("first_key"), F.col("o_totalprice").alias("first_price"), "n")
 
+    def registered(t):
+        register("middle", lambda v: F.exp(F.avg(F.ln(v))))
+        register_fold("mark", lambda: 0, lambda state, v: state ^ int(v), int, "long")
+        marks = relational.group(t("orders"), ["o_orderstatus"], aggregate("mark", "o_custkey").alias("mark"))
+        return relational.group(t("orders"), ["o_orderstatus"], F.round(aggregate("middle", "o_totalprice"), 4).alias("middle")).join(marks, "o_orderstatus")
+
+    def materialized(t):
+        orders = t("orders")
+        catalog = Catalog(orders.sparkSession)
+        catalog.add("veldt_orders", orders)
+        rich = catalog.materialize("veldt_rich", "SELECT o_custkey, SUM(o_totalprice) AS total FROM veldt_orders GROUP BY o_custkey")
+        return linq("SELECT a.o_custkey, COUNT(*) AS n_above FROM {rich} a JOIN {rich} b ON a.o_custkey % 50 = b.o_custkey % 50 AND a.total < b.total GROUP BY a.o_custkey", rich=rich)
+
+    def by_index(t):
+        orders = t("orders")
+        table = IndexedTable(orders)
+        for columns in (["o_custkey", "o_orderkey"], ["o_orderkey"]):
+            table.add_index("_".join(columns), columns, f"{shared_dir(orders.sparkSession)}/veldt-index-{uuid.uuid4().hex[:12]}", files=8)
+        return table.where(text.condition("(o_custkey = 7 AND o_orderkey > 100) OR o_orderkey BETWEEN 20 AND 40 OR o_custkey * 2 = 26")).select("o_orderkey", "o_custkey")
+
+    def spans(tree):
+        arms = [p.both(*(p.Compare(sign, own, p.Lit(v)) for own, r in arm.items() for sign, v in ((">=" if r.low_in else ">", r.low), ("<=" if r.high_in else "<", r.high)) if v is not None)) for arm in p.ranges(tree)]
+        return p.column(p.either(*arms))
+
+    def written(t):
+        nation = t("nation")
+        path = f"{shared_dir(nation.sparkSession)}/veldt-files-{uuid.uuid4().hex[:12]}"
+        save(nation, path, "orc", partition_by=["n_regionkey"])
+        return from_files(nation.sparkSession, path, "orc").select("n_regionkey", "n_nationkey", "n_name")
+
     key = C("o_orderkey")
     return {
         "project_ordinal_names": (lambda t: relational.project(t("nation"), F.col("n_nationkey"), (F.col("n_name"), "name"), F.col("n_regionkey") + 1), 'SELECT n_nationkey AS "0", n_name AS name, n_regionkey + 1 AS "2" FROM nation'),
-        "fn_rand": (lambda t: t("nation").select("n_nationkey", call("rand").alias("r")), None),
+        "fn_rand": (lambda t: t("nation").select("n_nationkey", call("rand").between(0, 1).alias("inside")), "SELECT n_nationkey, random() BETWEEN 0 AND 1 AS inside FROM nation"),
+        "project_nested": (
+            lambda t: t("nation").alias("n").join(t("region").alias("r"), F.col("n.n_regionkey") == F.col("r.r_regionkey")).select(*relational.nested(("n", t("nation")), ("r", t("region")))).select("n.n_nationkey", "r.r_name"),
+            "SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
+        ),
+        "group_registered": (registered, "SELECT o_orderstatus, ROUND(EXP(AVG(LN(o_totalprice))), 4) AS middle, BIT_XOR(o_custkey) AS mark FROM orders GROUP BY o_orderstatus"),
+        "subq_materialized": (materialized, "WITH rich AS (SELECT o_custkey, SUM(o_totalprice) AS total FROM orders GROUP BY o_custkey) SELECT a.o_custkey, COUNT(*) AS n_above FROM rich a JOIN rich b ON a.o_custkey % 50 = b.o_custkey % 50 AND a.total < b.total GROUP BY a.o_custkey"),
+        "access_by_index": (
+            by_index,
+            "SELECT o_orderkey, o_custkey FROM orders WHERE (o_custkey = 7 AND o_orderkey > 100) OR o_orderkey BETWEEN 20 AND 40 OR o_custkey * 2 = 26",
+        ),
+        "ranges_as_filter": (
+            lambda t: t("orders").filter(spans(text.condition("o_orderkey > 14900 OR (o_orderkey = 3 AND o_custkey >= 2) OR 10 - o_orderkey > 7"))).select("o_orderkey"),
+            "SELECT o_orderkey FROM orders WHERE o_orderkey > 14900 OR (o_orderkey = 3 AND o_custkey >= 2) OR 10 - o_orderkey > 7",
+        ),
+        "plan_where_on": (
+            lambda t: planned.plan(
+                ["c", "o", "l"],
+                text.condition("c.c_nationkey IN (1, 3) AND o.o_orderkey > 52 AND l.l_quantity * 2 > 30"),
+                (text.condition("l.l_orderkey = o.o_orderkey"), text.condition("o.o_custkey = c.c_custkey")),
+            ).frame({"c": t("customer"), "o": t("orders"), "l": t("lineitem")}).select("c_custkey", "o_orderkey", "l_linenumber"),
+            "SELECT c_custkey, o_orderkey, l_linenumber FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_nationkey IN (1, 3) AND o_orderkey > 52 AND l_quantity * 2 > 30",
+        ),
+        "graph_as_filter": (
+            lambda t: t("orders").filter(p.column(p.graph(text.condition("o_orderkey = o_custkey AND o_custkey > 3 AND o_orderstatus <> 'P' AND NOT o_totalprice < 100")).tree())).select("o_orderkey"),
+            "SELECT o_orderkey FROM orders WHERE o_orderkey = o_custkey AND o_custkey > 3 AND o_orderstatus <> 'P' AND NOT o_totalprice < 100",
+        ),
+        "join_not_in_frame": (lambda t: joins.not_in(t("customer"), t("events"), "c_custkey", "user_id").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)"),
+        "join_not_in_null_frame": (lambda t: joins.not_in(t("customer"), t("events").select(F.nullif("user_id", F.lit(3)).alias("user_id")), "c_custkey", "user_id").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT NULLIF(user_id, 3) FROM events)"),
+        "files_written": (
+            written,
+            "SELECT n_regionkey, n_nationkey, n_name FROM nation",
+        ),
         "fn_by_name": (lambda t: t("part").select("p_partkey", F.round(call("LOG", F.col("p_size"), F.lit(2)), 8).alias("l2"), call("greatest", F.col("p_size"), F.lit(9)).alias("g")), "SELECT p_partkey, ROUND(LN(p_size) / LN(2), 8) AS l2, GREATEST(p_size, 9) AS g FROM part"),
         "group_sum_text": (
             lambda t: relational.group(t("part").withColumn("mixed", F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).otherwise(F.col("p_size").cast("string"))), ["p_type"], text_sum(F.col("mixed")).alias("s")),
@@ -258,12 +328,12 @@ def _by_frame(make):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {name: _by_text(text) for name, text in SAME.items()}
+    out = {name: _by_text(sql) for name, sql in SAME.items()}
     out |= {name: _by_text(ours) for name, (ours, _) in OWN.items()}
     return out | {name: _by_frame(make) for name, (make, _) in _frames().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {name: re.sub(r"\{(\w+)\}", r"\1", text) for name, text in SAME.items()}
+    out = {name: re.sub(r"\{(\w+)\}", r"\1", sql) for name, sql in SAME.items()}
     out |= {name: theirs for name, (_, theirs) in OWN.items()}
     return out | {name: sql for name, (_, sql) in _frames().items() if sql}

@@ -2,20 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .scalar import number
 
 
+#: Aggregates that were registered: name to a function of a Column.
+REGISTERED: dict[str, Callable[[Column], Column]] = {}
+
+
+def register(name: str, build: Callable[[Column], Column]) -> None:
+    """An aggregate made of Spark's own, such as ``lambda v: F.exp(F.avg(F.ln(v)))``: it is
+    combined ahead of the shuffle like they are."""
+    REGISTERED[name.lower()] = build
+
+
+def register_fold(name: str, init: Callable[[], Any], step: Callable[[Any, Any], Any], finalize: Callable[[Any], Any], kind: str) -> None:
+    """An aggregate given by its first state, the state after a value, and the result of a state.
+
+    It runs in Python over each group's values, NULLs left out, in no particular order, and a
+    group's values are in one task: where groups are large, register a composition instead.
+    """
+    import pandas as pd
+
+    def fold(values):
+        state = init()
+        for value in values.dropna():
+            state = step(state, value)
+        return finalize(state)
+
+    fold.__annotations__ = {"values": pd.Series, "return": Any}  # a grouped aggregate, by its hints
+    REGISTERED[name.lower()] = F.pandas_udf(fold, kind)
+
+
 def aggregate(name: str, value: Column | str = "*", distinct: bool = False) -> Column:
-    """count, sum, avg, min, max. ``*`` counts rows."""
+    """count, sum, avg, min, max, and what was registered. ``*`` counts rows."""
     name = name.lower()
     if isinstance(value, str) and value == "*":
         if name != "count" or distinct:
             raise ValueError("only count takes *")
         return F.count("*")
     value = F.col(value) if isinstance(value, str) else value
+    if name in REGISTERED:
+        if distinct:
+            raise ValueError("a registered aggregate takes no DISTINCT")
+        return REGISTERED[name](value)
     plain = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
     apart = {"count": F.count_distinct, "sum": F.sum_distinct, "avg": lambda v: F.sum_distinct(v) / F.count_distinct(v), "min": F.min, "max": F.max}
     try:

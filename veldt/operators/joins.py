@@ -61,11 +61,31 @@ def or_join(left: DataFrame, right: DataFrame, arms: list[list[Column]], residua
     return matched.unionAll(alone.select("*", *fill))
 
 
+def not_in(left: DataFrame, right: DataFrame, left_col: str, right_col: str) -> DataFrame:
+    """left's rows whose column is NOT IN right's, as in SQL: no rows if right holds a NULL, all
+    if it is empty, and else those whose value isn't NULL and isn't there.
+
+    Spark's own NOT IN broadcasts the right side whatever its size. Here the sides meet in an
+    anti join of any strategy; only one row of counts is broadcast.
+    """
+    values = right.select(F.col(right_col).alias("__value"))
+    facts = values.agg(F.count(F.lit(1)).alias("__n"), F.count("__value").alias("__k"))
+    own = F.col(left_col)
+    rest = left.join(values.where("__value IS NOT NULL").distinct(), own == F.col("__value"), "left_anti")
+    return rest.join(F.broadcast(facts), (F.col("__n") == 0) | ((F.col("__n") == F.col("__k")) & own.isNotNull())).select(*(rest[c] for c in left.columns))
+
+
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
     """Equi-join in which each key of ``big`` is dealt to ``salts`` tasks and ``small`` is
-    copied to all of them: for a key that holds much of the rows, where AQE can't split it."""
+    copied to all of them: for a key that holds much of the rows, where AQE can't split it.
+
+    The salt depends on the row and its partition alone, so a stage that is run again after an
+    executor was lost deals its rows as before.
+    """
     if how not in ("inner", "left", "semi", "anti"):
         raise ValueError("the salted side must be the one that is kept")
-    salted = big.withColumn("_salt", (F.rand(0) * salts).cast("int"))
-    copied = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copied, [*keys, "_salt"], KINDS[how]).drop("_salt")
+    salt = "__veldt_salt"
+    hashed = [f.name for f in big.schema.fields if "map<" not in f.dataType.simpleString()]
+    salted = big.withColumn(salt, F.pmod(F.xxhash64(*hashed) + F.spark_partition_id(), F.lit(salts)).cast("int"))
+    copied = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copied, [*keys, salt], KINDS[how]).drop(salt)

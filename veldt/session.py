@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.dialect import to_spark_sql
@@ -38,5 +39,18 @@ class Catalog:
     def get(self, name: str) -> DataFrame:
         return self.tables[name]
 
+    def materialize(self, name: str, text: str, params: dict[str, Any] | None = None) -> DataFrame:
+        """The result of a query under a name, computed once for all queries that use it and kept
+        in memory and on disk over the executors; what is lost with one is computed again."""
+        frame = self.sql(text, params).persist(StorageLevel.MEMORY_AND_DISK)
+        self.tables[name] = frame
+        frame.createOrReplaceTempView(name)
+        return frame
+
+    def drop(self, name: str) -> None:
+        """Forget a name, and let go of what was kept for it."""
+        self.tables.pop(name).unpersist()
+        self.spark.catalog.dropTempView(name)
+
     def sql(self, text: str, params: dict[str, Any] | None = None) -> DataFrame:
         return self.spark.sql(to_spark_sql(text), args=params)

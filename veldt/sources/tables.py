@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
@@ -44,9 +45,30 @@ def from_rest(spark: SparkSession, url: str, schema: StructType | str, **options
     return spark.read.format("rest").schema(schema).options(**options).option("url", url).load()
 
 
+@dataclass(frozen=True)
+class Remote:
+    """A source elsewhere, for ``linq`` and ``Catalog``: a query of a SQL server (kind jdbc) or a
+    REST endpoint (kind rest, which needs a schema)."""
+
+    kind: str
+    url: str
+    query: str | None = None
+    schema: StructType | str | None = None
+    options: Mapping[str, Any] = field(default_factory=dict)
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        if self.kind == "jdbc":
+            return from_jdbc(spark, self.url, self.query, **self.options)
+        if self.kind == "rest":
+            return from_rest(spark, self.url, self.schema, **self.options)
+        raise ValueError(f"no remote source is called {self.kind}")
+
+
 def bound(spark: SparkSession, source: Any) -> DataFrame:
     if isinstance(source, DataFrame):
         return source
+    if isinstance(source, Remote):
+        return source.frame(spark)
     if isinstance(source, (str, Path)):
         return from_files(spark, str(source))
     return from_rows(spark, source)
