@@ -5,7 +5,7 @@ from itertools import product
 import numpy as np
 import pytest
 
-from veldt.llm import pii, quality
+from veldt.llm import pii, quality, toxicity
 
 RNG = np.random.default_rng(0)
 
@@ -116,3 +116,31 @@ def test_tagger_gradients():
         return total / len(x)
 
     same_gradients(net.parts(), loss, pii.gradients(net, x, tags), rng)
+
+
+def test_toxicity_values_by_definition():
+    """A text's value is the highest of its units', a unit's the sum of the table over its triples."""
+    rng = np.random.default_rng(6)
+    machine = toxicity.Machine(rng.normal(size=toxicity.SYMBOLS**3).astype(np.float32), -0.25, 2.0, 0.5)
+
+    def code(c):
+        return toxicity._LETTERS.index(c) + 3 if c in toxicity._LETTERS else 1 if c.isdigit() else 2 if c.isalpha() else 0
+
+    def value(unit):
+        best = -np.inf
+        for s in toxicity.stretches(unit):
+            total, norm = 0.0, 0.0
+            for i in range(len(s)):
+                for j in range(i + 1, len(s)):
+                    for k in range(j + 1, len(s)):
+                        weight = toxicity.DECAY ** (k - i + 1)
+                        total += weight * machine.table[(code(s[i]) * toxicity.SYMBOLS + code(s[j])) * toxicity.SYMBOLS + code(s[k])]
+                        norm += weight * weight
+            best = max(best, machine.bias + (total / np.sqrt(norm) if norm else 0.0))
+        return best
+
+    texts = ["Nice day, you s-t-u-p-i-d i d i o t!", "ab", "", "x" * 40 + " 12 naïve Ωmega" + "qwertyuiopasdfghjklzxcvbnm", "a1b2 c3"]
+    found = toxicity.text_values(machine, texts)
+    for text, best in zip(texts, found, strict=True):
+        assert best == pytest.approx(max(map(value, toxicity.units(text)), default=machine.bias), rel=1e-4, abs=1e-4)
+    assert machine.probability(found) == pytest.approx(1 / (1 + np.exp(-(2 * found + 0.5))))

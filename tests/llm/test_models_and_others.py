@@ -235,10 +235,40 @@ def test_warc_steps_over_blocks(tmp_path):
     reader = warc.WarcReader({"path": "x"})
     list(reader.pushFilters([warc.EqualTo(("record_type",), "response")]))
     source = Counting()
-    assert [len(r[-1]) for r in reader._records(warc._Buffered(source))] == [10, 3]
+    assert [len(r[-1]) for r in reader._records(warc._Buffered(source, len(raw)))] == [10, 3]
     assert source.bytes <= 4 << 20
 
 
+def test_foreign_archives(spark, tmp_path):
+    """A folder without a manifest, one file, a pattern, compressed archives, and archives cut short."""
+    import gzip
+
+    warc.register(spark)
+    record = lambda i, n=50: warc.record_bytes({"record_type": "response" if i % 2 else "request", "record_id": f"r{i}", "payload": b"%d" % i * n})
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.warc").write_bytes(record(1) + record(2, 3 << 20) + record(3))
+    (tmp_path / "in/b.warc.gz").write_bytes(gzip.compress(record(4, 2 << 20)) + gzip.compress(record(5)))
+    (tmp_path / "in/other.txt").write_text("no archive")
+    read = lambda p, **o: spark.read.format("warc").options(**o).load(f"file://{tmp_path}/{p}")
+    ids = lambda df: sorted(r.record_id for r in df.collect())
+    assert ids(read("in")) == ["r1", "r2", "r3", "r4", "r5"] and ids(read("in/a.warc")) == ["r1", "r2", "r3"] and ids(read("in/*.gz")) == ["r4", "r5"]
+    assert [bytes(r.payload) for r in read("in").where("record_type = 'response'").orderBy("record_id").collect()] == [b"%d" % i * 50 for i in (1, 3, 5)]
+    assert ids(read("in", payload="false").where("record_id > 'r3'")) == ["r4", "r5"]
+    whole = record(1) + record(2, 3 << 20)
+    for n in (20, len(record(1)) + 30, len(whole) - 50):
+        (tmp_path / "cut.warc").write_bytes(whole[:n])
+        for how in ("true", "false"):
+            with pytest.raises(Exception, match="the archive ends"):
+                read("cut.warc", payload=how).collect()
+
+
+def test_revisits_have_a_profile(spark, tmp_path):
+    warc.register(spark)
+    warc.archived(spark.createDataFrame([(1, "u", "x" * 2000, "2020-01-02T03:04:05Z"), (2, "v", "x" * 2000, "2021-01-02T03:04:05Z"), (2, "v", "x" * 2000, "2021-01-02T03:04:05Z")], "page_id long, url string, html string, at string"), f"file://{tmp_path}/p", date_col="at")
+    got = {r.record_id: (r.record_type, r.profile, r.date) for r in spark.read.format("warc").load(f"file://{tmp_path}/p").collect()}
+    assert got == {"<urn:page:1>": ("revisit", warc.SAME_PAYLOAD, "2020-01-02T03:04:05Z"), "<urn:page:2>": ("response", None, "2021-01-02T03:04:05Z")}
+
+
 def test_licenses_like_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")

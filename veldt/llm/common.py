@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import contextlib
-import os
-import tempfile
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +13,8 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_dir
+
 MASK = (1 << 64) - 1
 
 
@@ -24,20 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it. Where it is
-    unset, a private one, but only if driver and executors are one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    own = f"file://{tempfile.gettempdir()}/checkpoints/{os.getpid()}"
-    os.makedirs(own.removeprefix("file://"), exist_ok=True)
-    return own
-
-
 #: Paths of tables to be deleted at the end of the innermost ``scratch`` blocks.
 _SCRATCH: list[list[str]] = []
 
@@ -229,6 +216,17 @@ def learned(operator: str) -> dict:
     return LEARNED.setdefault(operator, {})
 
 
+#: Slices of texts, or tables of groups, after which a worker gives back the memory it has freed.
+_TIDY = 16
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: else a worker holds its highest use for good."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20, operator: str = "") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about ``most`` bytes of text each, and those texts.
 
@@ -236,6 +234,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most:
     """
     for other in set(LEARNED) - {operator}:
         del LEARNED[other]
+    given = 0
     for batch in batches:
         values = batch.column(column).cast(pa.large_binary())
         sizes = np.array(values.value_lengths().fill_null(0)) if hasattr(values, "value_lengths") else np.array(pa.compute.binary_length(values).fill_null(0))
@@ -246,6 +245,10 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most:
             part = batch.slice(at, n)
             yield part, [x or b"" for x in values.slice(at, n).to_pylist()]
             at += n
+            given += 1
+            if given % _TIDY == 0:
+                tidy()
+    tidy()
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -295,6 +298,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
         first = last
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held.clear()
+    tidy()
 
 
 def group_bounds(*columns: np.ndarray) -> np.ndarray:

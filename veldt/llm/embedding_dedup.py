@@ -3,8 +3,10 @@
 Vectors are brought to length one, where cosine c is the distance sqrt(2 - 2c). Each of
 several tables hashes a vector to the quantised values of a few Gaussian projections;
 vectors that meet in a bucket of any table are compared by their exact cosine in double
-precision. The number of tables follows from the wanted recall of a pair that has exactly
-the threshold; closer pairs meet more often.
+precision. The number of projections of a table grows with the logarithm of the number of
+vectors, so that a vector meets few unrelated ones however many there are; the number of
+tables follows from that and the wanted recall of a pair that has exactly the threshold;
+closer pairs meet more often.
 
 Equal vectors are one from the start. Buckets give the edges of a spanning forest of the
 links found in them; components of these are then compared throughout, block by block, for
@@ -22,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, one_row_an_id, stored
+from .common import drop_stored, mix, one_row_an_id, scratch, small_batches, stored, stored_outside
 from .pairs import BLOCK, components, forest, groups, in_blocks, meet, shared_keys
 
 THRESHOLD = 0.95
 RECALL = 0.999
-#: Projections of a table, and the width of their quantisation in units of the distance at the threshold.
-PROJECTIONS = 6
-WIDTH = 4.0
+#: Width of the quantisation in units of the distance at the threshold: near 8 fewest tables do.
+WIDTH = 8.0
+#: Vectors at a right angle that a vector meets in a table, on average at most.
+STRANGERS = 0.05
 SEED = 7
 
 
@@ -39,7 +42,13 @@ def collision(ratio: float) -> float:
     return 1 - 2 * normal - 2 / (math.sqrt(2 * math.pi) * ratio) * (1 - math.exp(-ratio * ratio / 2))
 
 
-def tables_for(recall: float, projections: int = PROJECTIONS, width: float = WIDTH) -> int:
+def projections_for(n: int, threshold: float = THRESHOLD, width: float = WIDTH, strangers: float = STRANGERS) -> int:
+    """Projections of a table for n vectors."""
+    apart = collision(width * math.sqrt(1 - threshold))
+    return max(1, math.ceil(math.log(max(n, 2) / strangers) / -math.log(apart)))
+
+
+def tables_for(recall: float, projections: int, width: float = WIDTH) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - collision(width) ** projections))
 
 
@@ -56,16 +65,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _keys_of(tables: int, projections: int, width: float, seed: int):
+    def drawn(dim: int) -> tuple[np.ndarray, np.ndarray]:
+        rng = np.random.default_rng([seed, dim])
+        return rng.standard_normal((dim, tables * projections)), rng.uniform(0, width, tables * projections)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             size = np.asarray(batch.column("vector").value_lengths())
             for dim in np.unique(size).tolist():
                 at = np.flatnonzero(size == dim)
                 part = batch.take(pa.array(at))
                 x = unit(_matrix(part.column("vector")))
-                rng = np.random.default_rng([seed, dim])
-                lines = rng.standard_normal((dim, tables * projections))
-                shift = rng.uniform(0, width, tables * projections)
+                lines, shift = known.setdefault(dim, known.get(dim) or drawn(dim))
                 cell = np.floor((x @ lines + shift) / width).astype(np.int64).view(np.uint64).reshape(len(x), tables, projections)
                 key = np.tile(mix(np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(dim)), (len(x), 1))
                 for p in range(projections):
@@ -131,6 +143,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows that share an id are one, with the least of their vectors. Other columns are ignored whatever their names; an empty table gives
     no rows.
     """
+    small_batches(vectors.sparkSession)
     v = F.col("vector")
     rows = one_row_an_id(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("id is not null"), "id")
     sound = (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -139,10 +152,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     of, _ = stored(usable.join(alike.select("vector", F.col("id").alias("first"), "copies"), "vector").select("id", "first", "copies"), "vector-copies")
 
     scale = math.sqrt(2 - 2 * threshold) * WIDTH
-    keys = alike.select("id", "vector").mapInArrow(_keys_of(tables_for(recall), PROJECTIONS, scale, SEED), "key long, id long")
-    shared, _ = stored(in_blocks(shared_keys(keys), block), "vector-buckets")
-    edges = meet(shared.join(alike.select("id", "vector"), "id"), _edges(threshold), "a long, b long")
+    projections = projections_for(alike.count(), threshold)
+    keys = alike.select("id", "vector").mapInArrow(_keys_of(tables_for(recall, projections), projections, scale, SEED), "key long, id long")
+    with scratch(vectors.sparkSession):
+        shared, _ = stored(in_blocks(shared_keys(keys), block), "vector-buckets")
+        edges, edge_path = stored_outside(meet(shared.join(alike.select("id", "vector"), "id"), _edges(threshold), "a long, b long").distinct(), "vector-edges")
     linked = components(edges, "vectors")
+    drop_stored(vectors.sparkSession, edge_path)
 
     sizes = linked.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
     inside = in_blocks(linked.join(sizes, "comp").select(F.col("comp").alias("key"), "id", "members"), block)

@@ -13,8 +13,8 @@ b is chosen per size class so that this is below ``MISS``.
 
 Who holds the wanted share of a template's n runs lacks fewer than some number m of them,
 so holds one at least of any m. A document without any of m fixed runs of each template of
-a size class can hold none of the class and isn't cut into windows for it; that leaves the
-result as it is. Templates are a parameter of bounded number and size;
+a size class can hold none of the class and isn't cut into windows for it, and a window
+without any isn't looked at further; that leaves the result as it is. Templates are a parameter of bounded number and size;
 they are sent to every executor, and nothing of the documents is shuffled but the
 matches.
 """
@@ -33,8 +33,8 @@ from .common import stored
 RUN = 5
 CONTAINMENT = 0.8
 MISS = 1e-5
-#: Templates, and words of all templates, at most.
-MOST_TEMPLATES, MOST_WORDS = 2000, 500_000
+#: Templates, and words of all templates, at most: the runs needed of them are part of the query.
+MOST_TEMPLATES, MOST_WORDS = 2000, 150_000
 
 #: One-sentence notices.
 NOTICES = {
@@ -160,10 +160,12 @@ def _bands(runs: Column, count: int) -> Column:
 def _scan_class(cut: DataFrame, templates: dict[str, list[int]], half: int, bands: int) -> DataFrame:
     spark = cut.sparkSession
     known = spark.createDataFrame(list(templates.items()), "license_id string, template array<long>").coalesce(1)
-    keyed = known.select("license_id", "template", F.explode(_bands(F.col("template"), bands)).alias("band"))
+    keyed = known.select("license_id", F.explode(_bands(F.col("template"), bands)).alias("band"))
     starts = F.sequence(F.lit(0), F.greatest((F.size("runs") - 1) / half, F.lit(0)).cast("int"))
     windows = cut.select("of_doc", F.explode(F.transform(starts, lambda i: F.struct((i * half).cast("long").alias("at"), F.array_distinct(F.slice("runs", i * half + 1, F.lit(2 * half))).alias("held")))).alias("w"))
-    met = windows.select("of_doc", "w.at", "w.held", F.explode(_bands(F.col("w.held"), bands)).alias("band")).join(F.broadcast(keyed), "band")
+    # What holds for a document holds for a window: without any of the runs that no match can do without there is none.
+    windows = windows.where(F.arrays_overlap("w.held", constant({h for runs in templates.values() for h in needed(runs)})))
+    met = windows.select("of_doc", "w.at", "w.held", F.explode(_bands(F.col("w.held"), bands)).alias("band")).join(F.broadcast(keyed), "band").join(F.broadcast(known), "license_id")
     share = F.size(F.array_intersect("held", "template"))
     return met.select("of_doc", "license_id", F.size("template").alias("n_runs"), share.alias("n_found"), F.col("at").alias("first_word")).where(F.col("n_found") >= F.ceil(F.col("n_runs") * F.lit(CONTAINMENT) - 1e-9))
 

@@ -171,7 +171,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, allowed, label_col: str,
     known = labels.where(allowed).where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("of_id")).agg(F.max(F.col(label_col).cast("int")).alias("label")).where("of_id is not null")
     some = [known.where(F.col("label") == v).orderBy(F.xxhash64("of_id"), "of_id").limit(rows[v]) for v in (0, 1)]
     picked = [(r.of_id, r.label) for r in some[0].unionByName(some[1]).collect()]
-    chosen = docs.sparkSession.createDataFrame(picked, "of_id long, label int")
+    # As an Arrow table, for which Spark starts no Python workers.
+    chosen = docs.sparkSession.createDataFrame(pa.table({"of_id": pa.array([i for i, _ in picked], pa.int64()), "label": pa.array([v for _, v in picked], pa.int32())}))
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("of_id"), F.col(text_col).alias("text"))
     found = source.join(F.broadcast(chosen), "of_id").select("of_id", "label", "text").mapInArrow(_training_texts(sent or list), "of_id long, label int, text binary").collect()

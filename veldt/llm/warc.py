@@ -6,18 +6,21 @@ into the reader: it parses a record's header first, and where the header fails,
 query doesn't use the payload (option payload=false), it steps over the record's block
 without reading it. ``df.write.format("warc")`` writes archives that are rolled at
 ``archive_bytes``; they count once the writer has put them into the manifest, so what a
-lost or repeated task leaves behind isn't read.
+lost or repeated task leaves behind isn't read. A folder without a manifest, a single file
+or a pattern is read as it is: all files that end in .warc or .warc.gz. A file that ends
+within a record raises.
 
 Files are reached by pyarrow's file systems, from the path's scheme.
 """
 
 from __future__ import annotations
 
-import hashlib
+import gzip
 import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +52,7 @@ PARTITION_BYTES = 128 << 20
 #: Payloads of fewer bytes are never written as revisits.
 REVISIT_BYTES = 1000
 
-SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, payload_length long, refers_to string, content_type string, payload binary"
+SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, payload_length long, refers_to string, profile string, content_type string, payload binary"
 _HEADERS = {
     "record_type": b"WARC-Type",
     "record_id": b"WARC-Record-ID",
@@ -58,10 +61,14 @@ _HEADERS = {
     "payload_digest": b"WARC-Payload-Digest",
     "payload_length": b"WARC-Payload-Length",
     "refers_to": b"WARC-Refers-To",
+    "profile": b"WARC-Profile",
     "content_type": b"Content-Type",
 }
 _COLUMN = {name.lower(): column for column, name in _HEADERS.items()}
 _MANIFEST = "_archives.json"
+_ENDINGS = (".warc", ".warc.gz")
+#: Of revisits whose payload is that of the record they refer to (fixed by the format).
+SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 # ---------------------------------------------------------------- records ---
@@ -89,14 +96,16 @@ def _header(stream) -> tuple[dict, int] | None:
     if not line.startswith(b"WARC/"):
         raise ValueError(f"not a WARC record: {line[:40]!r}")
     out: dict = dict.fromkeys(_HEADERS)
-    length = 0
-    while (line := stream.readline().rstrip(b"\r\n")) != b"":
+    length = None
+    while (line := stream.readline()).rstrip(b"\r\n"):
         name, _, value = line.partition(b":")
         name, value = name.strip().lower(), value.strip()
         if name == b"content-length":
             length = int(value)
         elif name in _COLUMN:
             out[_COLUMN[name]] = value.decode("utf-8", "replace")
+    if not line or length is None:
+        raise ValueError("the archive ends within a header" if not line else "a record has no Content-Length")
     if out["payload_length"] is not None:
         out["payload_length"] = int(out["payload_length"])
     return out, length
@@ -148,13 +157,28 @@ class WarcReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[InputPartition]:
+    def _files(self) -> list[dict]:
+        """Paths of the archives, and their sizes."""
         fs, root = pafs.FileSystem.from_uri(self.path)
-        with fs.open_input_stream(f"{root}/{_MANIFEST}") as s:
-            files = json.loads(s.read())
+        if any(c in root for c in "*?["):
+            folder = root[: min(root.index(c) for c in "*?[" if c in root)].rpartition("/")[0]
+            return [f for f in self._listed(fs, folder) if fnmatchcase(f["path"], root)]
+        info = fs.get_file_info(root)
+        if info.type == pafs.FileType.File:
+            return [{"path": root, "bytes": info.size}]
+        if fs.get_file_info(f"{root}/{_MANIFEST}").type == pafs.FileType.File:
+            with fs.open_input_stream(f"{root}/{_MANIFEST}") as s:
+                return [f | {"path": f"{root}/{f['path']}"} for f in json.loads(s.read())]
+        return [f for f in self._listed(fs, root) if f["path"].endswith(_ENDINGS)]
+
+    @staticmethod
+    def _listed(fs: pafs.FileSystem, folder: str) -> list[dict]:
+        return [{"path": f.path, "bytes": f.size} for f in fs.get_file_info(pafs.FileSelector(folder, recursive=True)) if f.type == pafs.FileType.File]
+
+    def partitions(self) -> list[InputPartition]:
         out: list[list[str]] = []
         room = 0
-        for f in sorted(files, key=lambda f: f["path"]):
+        for f in sorted(self._files(), key=lambda f: f["path"]):
             if f["bytes"] > room or not out:
                 out.append([])
                 room = self.bytes
@@ -163,10 +187,10 @@ class WarcReader(DataSourceReader):
         return [Archives(p) for p in out] or [Archives([])]
 
     def read(self, partition: Archives) -> Iterator[tuple]:
-        fs, root = pafs.FileSystem.from_uri(self.path)
+        fs, _ = pafs.FileSystem.from_uri(self.path)
         for path in partition.paths:
-            with fs.open_input_file(f"{root}/{path}") as raw:
-                yield from self._records(_Buffered(raw))
+            with fs.open_input_file(path) as raw:
+                yield from self._records(_Buffered(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw, None if path.endswith(".gz") else raw.size()))
 
     def _records(self, stream: _Buffered) -> Iterator[tuple]:
         while (head := _header(stream)) is not None:
@@ -179,12 +203,13 @@ class WarcReader(DataSourceReader):
 
 
 class _Buffered:
-    """Lines and blocks of a seekable file, by pieces of at most a megabyte."""
+    """Lines and blocks of a file, by pieces of at most a megabyte. size: of the file, whose
+    blocks can then be stepped over; without it they are read and let go."""
 
     PIECE = 1 << 20
 
-    def __init__(self, raw):
-        self.raw, self.held, self.at = raw, b"", 0
+    def __init__(self, raw, size: int | None = None):
+        self.raw, self.size, self.held, self.at = raw, size, b"", 0
 
     def _fill(self) -> bool:
         more = self.raw.read(self.PIECE)
@@ -201,15 +226,25 @@ class _Buffered:
         return line
 
     def read(self, n: int) -> bytes:
-        have = self.held[self.at : self.at + n]
-        self.at += len(have)
-        return have + self.raw.read(n - len(have)) if len(have) < n else have
+        out = self.held[self.at : self.at + n]
+        self.at += len(out)
+        if len(out) < n:
+            out += self.raw.read(n - len(out))
+        if len(out) < n:
+            raise ValueError(f"the archive ends {n - len(out)} bytes ahead of a record's end")
+        return out
 
     def skip(self, n: int) -> None:
         have = min(n, len(self.held) - self.at)
         self.at += have
-        if have < n:
-            self.raw.seek(self.raw.tell() + n - have)
+        n -= have
+        if n and self.size is not None:
+            if self.raw.tell() + n > self.size:
+                raise ValueError(f"the archive ends {self.raw.tell() + n - self.size} bytes ahead of a record's end")
+            self.raw.seek(self.raw.tell() + n)
+            return
+        while n:
+            n -= len(self.read(min(n, self.PIECE)))
 
 
 @dataclass
@@ -290,8 +325,9 @@ def page_of(urn):
     return F.regexp_extract(urn, rf"^<{_PREFIX}(-?[0-9]+)>$", 1).try_cast("long")
 
 
-def archived(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES) -> None:
-    """Write a record for each page to archives under path.
+def archived(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES, date_col: str | None = None) -> None:
+    """Write a record for each page to archives under path. date_col: a column with the pages'
+    WARC-Date; without one all have the time of writing.
 
     The payload is the html in UTF-8, a null one is empty. Of the pages with equal payloads
     of at least revisit_bytes bytes, that with the largest id is a response, the others are
@@ -302,7 +338,7 @@ def archived(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
     Only the digests are compared in a shuffle, not the payloads: one row goes out for each
     digest and task, so a payload that a third of all pages share weighs no more than others.
     """
-    page = one_row_an_id(pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload")).where("page is not null"), "page")
+    page = one_row_an_id(pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"), (F.col(date_col).cast("string") if date_col else F.lit(None).cast("string")).alias("date")).where("page is not null"), "page")
     page = page.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
     large = page.where(F.col("bytes") >= revisit_bytes).select("page", "digest", "bytes")
     shared = large.groupBy("digest", "bytes").agg(F.max("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -313,10 +349,11 @@ def archived(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         _urn(F.col("page")).alias("record_id"),
         F.col("url").alias("target_uri"),
-        F.lit("1970-01-01T00:00:00Z").alias("date"),
+        (F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'") if date_col is None else F.col("date")).alias("date"),
         F.concat(F.lit("sha1:"), "digest").alias("payload_digest"),
         F.col("bytes").alias("payload_length"),
         F.when(again, _urn(F.col("first"))).alias("refers_to"),
+        F.when(again, SAME_PAYLOAD).alias("profile"),
         F.lit("text/html; charset=utf-8").alias("content_type"),
         F.when(again, F.lit(b"")).otherwise(F.col("payload")).alias("payload"),
     )
