@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veldt.functions.aggregates import REGISTERED, aggregate, register, register_fold
 from veldt.functions.dialect import to_spark_sql
+from veldt.functions.scalar import truth
 from veldt.operators import joins
 from veldt.plans import access, text
 from veldt.plans import joins as planned
@@ -199,6 +200,11 @@ def test_merge_prefix(spark):
 # ------------------------------------------------------ sessions, sources ---
 
 
+def test_truth_of_values(spark):
+    df = spark.createDataFrame([("1",), ("0",), ("x",), (None,), ("-2.5",)], "v string")
+    assert [r[0] for r in df.select(truth(F.col("v"))).collect()] == [True, False, None, None, True]
+
+
 def test_registered_aggregates(spark):
     df = spark.createDataFrame([("x", 1.0), ("x", 4.0), ("x", None), ("y", None)], "k string, v double")
     register("Middle", lambda v: F.exp(F.avg(F.ln(v))))
