@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -69,8 +71,11 @@ def drop_stored(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now: it does so when the driver
-    collects its garbage, which it may not do for long."""
-    spark.sparkContext._jvm.System.gc()
+    collects its garbage, which it may not do for long. What Python still names is kept."""
+    gc.collect()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 @contextlib.contextmanager
