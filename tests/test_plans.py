@@ -258,6 +258,14 @@ def test_salts_are_the_same_each_time(spark):
     assert joined.columns == ["k", "v", "_salt", "w"] and joined.count() == 40 and "rand" not in plan_of(joined)
 
 
+@pytest.mark.parametrize("how, count", [("inner", 300), ("left", 400), ("semi", 300), ("anti", 100)])
+def test_salted_copies_are_not_broadcast(spark, tmp_path, how, count):
+    spark.range(3).selectExpr("id AS k", "id AS w").write.parquet(f"{tmp_path}/small")  # a size that Catalyst knows
+    big = spark.range(400).selectExpr("id % 4 AS k", "id AS v")
+    joined = joins.spread_join(big, spark.read.parquet(f"{tmp_path}/small"), ["k"], how=how)
+    assert joined.count() == count and "Broadcast" not in plan_of(joined)
+
+
 VALUES = ("SELECT 1 AS v WHERE 1 = 0", "SELECT 1 AS v", "SELECT 1 AS v UNION ALL SELECT 3", "SELECT 1 AS v UNION ALL SELECT CAST(NULL AS INT)", "SELECT CAST(NULL AS INT) AS v", "SELECT 2 AS v UNION ALL SELECT 2")
 
 

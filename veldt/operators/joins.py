@@ -80,7 +80,8 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int =
     copied to all of them: for a key that holds much of the rows, where AQE can't split it.
 
     The salt depends on the row and its partition alone, so a stage that is run again after an
-    executor was lost deals its rows as before.
+    executor was lost deals its rows as before. The copies are merged, never broadcast: Catalyst
+    takes the size of ``small`` for that of all its copies, and the driver would gather them.
     """
     if how not in ("inner", "left", "semi", "anti"):
         raise ValueError("the salted side must be the one that is kept")
@@ -88,4 +89,4 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int =
     hashed = [f.name for f in big.schema.fields if "map<" not in f.dataType.simpleString()]
     salted = big.withColumn(salt, F.pmod(F.xxhash64(*hashed) + F.spark_partition_id(), F.lit(salts)).cast("int"))
     copied = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copied, [*keys, salt], KINDS[how]).drop(salt)
+    return salted.join(copied.hint("merge"), [*keys, salt], KINDS[how]).drop(salt)
