@@ -1,6 +1,7 @@
 """linq, dialect, sources, operators and streams on small literal inputs."""
 
 import json
+import math
 import random
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -9,7 +10,8 @@ from urllib.parse import parse_qs, urlparse
 import pytest
 from pyspark.sql import functions as F
 
-from veldt.functions.aggregates import aggregate, text_sum
+from veldt import catalog
+from veldt.functions.aggregates import aggregate, exact_sum, text_sum
 from veldt.functions.dialect import to_spark_sql
 from veldt.functions.scalar import call
 from veldt.operators import changes, joins, relational
@@ -98,6 +100,27 @@ def test_groups_with_text_and_nulls(spark):
     assert rows(out.select("k", "v", "s", "c")) == [(1, "1000", 3000.0, 2), (2, "-10", 490.0, 2), (3, None, 14.0, 2), (4, "bow", None, 2)]
 
 
+def test_exact_sum(spark):
+    rng = random.Random(2)
+    values = [rng.uniform(-1, 1) * 10 ** rng.randint(-30, 20) for _ in range(400)] + [0.1, 0.2, 0.3, 5e-324, -0.0]
+    for case in (values, [0.1] * 10, [1e-20, 1.0, -1.0], [75462.67, 372772.98], [1 / 3, 2 / 3]):
+        sums = set()
+        for _ in range(4):
+            rng.shuffle(case)
+            sums.add(spark.createDataFrame([(v,) for v in [*case, None]], "v double").agg(exact_sum(F.col("v"))).first()[0])
+        assert len(sums) == 1 and sums.pop() == pytest.approx(math.fsum(case), rel=1e-15)
+    for case in ([], [None], [1e300, 1.0], [6e27, 6e27], [float("inf"), 1.0], [float("nan"), 1.0]):
+        df = spark.createDataFrame([(v,) for v in case], "v double")
+        assert df.agg(exact_sum(F.col("v")).cast("string")).first() == df.agg(F.sum("v").cast("string")).first(), case
+
+
+def test_materialized_totals_of_same_prices_are_equal(spark, tmp_path):
+    """Customers 1 and 51 have the same prices in another order, 101 has more."""
+    prices = [(1, 0.1), (1, 0.2), (1, 0.3), (51, 0.3), (51, 0.2), (51, 0.1), (101, 9.0)]
+    spark.createDataFrame(prices, "o_custkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    assert rows(catalog.queries()["subq_materialized"](spark, str(tmp_path))) == [(1, 1), (51, 1)]
+
+
 def test_limit_and_names(spark):
     df = relational.sort(spark.range(1000), "id")
     assert rows(relational.limit(df, 2, 495)) == [(495,), (496,)]
