@@ -140,6 +140,29 @@ def test_or_join_like_plain_join(spark, how):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_or_join_deals_few_keys(spark, tmp_path, how):
+    """All rows of a key that all share, from one file, meet in several tasks."""
+    spark.range(2000).selectExpr("1 AS x", "id AS i").coalesce(1).write.parquet(f"{tmp_path}/a")
+    spark.range(40).selectExpr("1 AS x", "id AS j").write.parquet(f"{tmp_path}/b")
+    a, b = spark.read.parquet(f"{tmp_path}/a").alias("a"), spark.read.parquet(f"{tmp_path}/b").alias("b")
+    arms = [[F.col("a.x") == F.col("b.x")], [F.col("a.i") == F.col("b.j")]]
+    rest = F.col("a.i") > F.col("b.j")
+    got = joins.or_join(a, b, arms, rest, how, salts=[16, 1])
+    assert got.columns == ["x", "i", "x", "j"]
+    assert rows(got.select("i", "j")) == rows(a.join(b, (arms[0][0] | arms[1][0]) & rest, how).select("i", "j"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "NestedLoop" not in plan
+    with pytest.raises(ValueError):
+        joins.or_join(a, b, arms, rest, how, salts=[16])
+
+
+@pytest.mark.parametrize("name", ["join_or_keys", "join_or_and_mixed"])
+def test_nations_meet_in_several_tasks(spark, name):
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "xxhash64" in plan
+
+
 def test_changes(spark):
     t = spark.createDataFrame([(1, 5), (2, None), (3, 9)], "k int, v int")
     assert rows(changes.delete(t, F.col("v") > 6)) == [(1, 5), (2, None)]

@@ -35,22 +35,52 @@ def null_safe(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def or_join(left: DataFrame, right: DataFrame, arms: list[list[Column]], residual: Column | None = None, how: str = "inner") -> DataFrame:
+SALT = "__veldt_salt"
+
+
+def _salted(big: DataFrame, salts: int) -> DataFrame:
+    """The salt depends on the row and its partition alone, so a stage that is run again after an
+    executor was lost deals its rows as before."""
+    hashed = [f.name for f in big.schema.fields if "map<" not in f.dataType.simpleString()]
+    return big.withColumn(SALT, F.pmod(F.xxhash64(*hashed) + F.spark_partition_id(), F.lit(salts)).cast("int"))
+
+
+def _copied(small: DataFrame, salts: int, name: str = SALT) -> DataFrame:
+    """To be merged, never broadcast: Catalyst takes the size of ``small`` for that of all its
+    copies, and the driver would gather them."""
+    return small.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+
+
+def or_join(left: DataFrame, right: DataFrame, arms: list[list[Column]], residual: Column | None = None, how: str = "inner", salts: list[int] | None = None) -> DataFrame:
     """Join on (a1 AND a2 ...) OR (b1 AND ...) OR ..., each arm with an equality, as a union of
     equi-joins: Spark would take a nested loop over all pairs.
 
     Arm i takes the pairs that no earlier arm has taken, so the arms are disjoint and rows
     keep their multiplicity without row ids. An earlier arm that is NULL for a pair hasn't
     taken it. LEFT adds the rows without a match by one anti join for each arm.
+
+    salts: for each arm, to how many tasks left's rows of one key are dealt, as in spread_join; 1
+    leaves the arm to Catalyst. It is for keys of few values: their pairs grow with the square of
+    the rows, and else meet in one task a key, or one a file where right is broadcast.
     """
     if how not in ("inner", "left"):
         raise ValueError("an or_join is inner or left")
+    if salts is not None and len(salts) != len(arms):
+        raise ValueError("each arm has its salts")
+
+    def meet(own: DataFrame, n: int, on: Column, kind: str) -> DataFrame:
+        if n == 1:
+            return own.join(right, on, kind)
+        other = f"{SALT}_copy"
+        return _salted(own, n).join(_copied(right, n, other), on & (F.col(SALT) == F.col(other)), kind).drop(SALT, other)
+
     conditions = [reduce(lambda a, b: a & b, arm) for arm in arms]
     rest = residual if residual is not None else F.lit(True)
+    salts = salts or [1] * len(arms)
     parts = []
-    for i, own in enumerate(conditions):
+    for i, (own, n) in enumerate(zip(conditions, salts, strict=True)):
         free = [~F.coalesce(other, F.lit(False)) for other in conditions[:i]]
-        parts.append(left.join(right, reduce(lambda a, b: a & b, [own, *free, rest]), "inner"))
+        parts.append(meet(left, n, reduce(lambda a, b: a & b, [own, *free, rest]), "inner"))
     matched = reduce(DataFrame.unionAll, parts)
     if how == "inner":
         return matched
@@ -78,15 +108,7 @@ def not_in(left: DataFrame, right: DataFrame, left_col: str, right_col: str) ->
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
     """Equi-join in which each key of ``big`` is dealt to ``salts`` tasks and ``small`` is
     copied to all of them: for a key that holds much of the rows, where AQE can't split it.
-
-    The salt depends on the row and its partition alone, so a stage that is run again after an
-    executor was lost deals its rows as before. The copies are merged, never broadcast: Catalyst
-    takes the size of ``small`` for that of all its copies, and the driver would gather them.
     """
     if how not in ("inner", "left", "semi", "anti"):
         raise ValueError("the salted side must be the one that is kept")
-    salt = "__veldt_salt"
-    hashed = [f.name for f in big.schema.fields if "map<" not in f.dataType.simpleString()]
-    salted = big.withColumn(salt, F.pmod(F.xxhash64(*hashed) + F.spark_partition_id(), F.lit(salts)).cast("int"))
-    copied = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copied.hint("merge"), [*keys, salt], KINDS[how]).drop(salt)
+    return _salted(big, salts).join(_copied(small, salts), [*keys, SALT], KINDS[how]).drop(SALT)
