@@ -85,8 +85,8 @@ def or_join(left: DataFrame, right: DataFrame, arms: list[list[Column]], residua
     if how == "inner":
         return matched
     alone = left
-    for own in conditions:
-        alone = alone.join(right, own & rest, "left_anti")
+    for own, n in zip(conditions, salts, strict=True):
+        alone = meet(alone, n, own & rest, "left_anti")
     fill = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields]
     return matched.unionAll(alone.select("*", *fill))
 
