@@ -1,5 +1,7 @@
 """linq, dialect, sources, operators and streams on small literal inputs."""
 
+import datetime
+import decimal
 import json
 import math
 import random
@@ -8,6 +10,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from veldt import catalog
@@ -46,6 +49,31 @@ def test_rows_with_gaps_and_none(spark):
     assert from_rows(spark, [], "a int").count() == 0
 
 
+def test_short_list_is_broadcast(spark, tmp_path):
+    """Else the other side, beyond the limit, is dealt by the few keys of the list."""
+    spark.range(1000).selectExpr("CAST(id % 3 AS STRING) AS code").write.parquet(f"{tmp_path}/many")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(limit, "256")
+    try:
+        df = linq("SELECT l.name, COUNT(*) AS n FROM {few} l JOIN {many} m ON m.code = l.code GROUP BY l.name", spark=spark, few=[{"code": "0", "name": "none"}, {"code": "2", "name": "two"}], many=f"{tmp_path}/many")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert rows(df) == [("none", 334), ("two", 333)] and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset(limit)
+
+
+def test_list_keeps_its_types(spark):
+    full = {"i": 1, "f": 0.5, "b": True, "s": "é", "raw": bytearray(b"\x00\xff"), "d": datetime.date(1582, 10, 4), "t": datetime.datetime(2020, 2, 29, 1, 2, 3, 4), "m": decimal.Decimal("1.50"), "a": [1, None], "o": {"k": None}, "r": Row(x=1, y=Row(z="w")), "gap": datetime.timedelta(days=1, microseconds=5)}
+    kind = "i long, f double, b boolean, s string, raw binary, d date, t timestamp, m decimal(10,2), a array<long>, o map<string,string>, r struct<x:long,y:struct<z:string>>, gap interval day to second, none void"
+    plain = spark.createDataFrame([tuple({**full, "none": None}.values()), (None,) * 13], kind)
+    df = from_rows(spark, [full, {}], kind)
+    assert df.schema == plain.schema and df.collect() == plain.collect()
+    guessed = from_rows(spark, [{k: v for k, v in full.items() if k != "o"}, {"i": 2}])
+    assert guessed.columns == [k for k in full if k != "o"] and guessed.select("r", "gap").collect() == [(full["r"], full["gap"]), (None, None)]
+    many = [{"i": i} for i in range(10_001)]
+    assert from_rows(spark, many).count() == 10_001 and from_rows(spark, many[:10_000]).agg(F.sum("i")).first()[0] == 49_995_000
+
+
 @pytest.mark.parametrize(
     "text, result",
     [

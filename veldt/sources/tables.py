@@ -11,17 +11,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+#: Lists of up to so many records become relations whose size Catalyst knows.
+LOCAL_ROWS = 10_000
+
+
 def from_rows(spark: SparkSession, rows: Iterable[Mapping[str, Any]], schema: StructType | str | None = None) -> DataFrame:
     """A list of records. Their columns are those of all of them; what one lacks is NULL.
-    An empty list needs a schema."""
+    An empty list needs a schema. A join broadcasts a short list, instead of dealing the other
+    side by keys of which there may be few."""
     rows = [dict(r) for r in rows]
     if schema is None and not rows:
         raise ValueError("an empty list needs a schema")
     if schema is not None:
         kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-        return spark.createDataFrame([tuple(r.get(n) for n in kind.names) for r in rows], kind)
-    names = list(dict.fromkeys(n for r in rows for n in r))
-    return spark.createDataFrame([{n: r.get(n) for n in names} for r in rows]).select(*names)
+        made = spark.createDataFrame([tuple(r.get(n) for n in kind.names) for r in rows], kind)
+    else:
+        names = list(dict.fromkeys(n for r in rows for n in r))
+        made = spark.createDataFrame([{n: r.get(n) for n in names} for r in rows]).select(*names)
+    return _local(spark, made) if len(rows) <= LOCAL_ROWS else made
+
+
+def _local(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """What createDataFrame makes of a list is an RDD to Catalyst, of unknown size and so never
+    broadcast. The same rows as a local relation; types that Python defines stay as they are."""
+    if '"udt"' in df.schema.json():
+        return df
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.collectAsList(), df._jdf.schema()), spark)
 
 
 def from_files(spark: SparkSession, path: str, format: str | None = None, schema: StructType | str | None = None, **options: Any) -> DataFrame:
